@@ -1,24 +1,306 @@
-"""Queries over the tables of a folder, for the driver."""
+"""Queries over the tables of a folder, for the driver, and the SQL that checks them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import changes
+from ..functions import text as X
+from ..functions.formatting import format_chunk
+from ..functions.library import DOCUMENTATION, SUBDIRS
+from ..operators import changes, chunkers, ignore, metadata, packing, state
+from ..session import shared_dir
 from ..sources.tables import table
 
+#: Rules and limits of the queries.
+RULES = ["*.env", "docs/", "!docs/**/*.md", "/tools/*/*.c", "**/vendor/**", "[ab]*_*.yaml", "node_modules/", "*.min.css"]
+SKIP_DIRS = ["node_modules", "dist", "build"]
+MAX_SIZE = 10 * 1024 * 1024
+MAX_WORDS = 400
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files; of rows with the same id one."""
+    rows = table(spark, d, "documents", "doc_id", "path", "text", "lang")
+    name = F.substring_index("path", "/", -1)
+    return rows.select("doc_id", "path", name.alias("name"), X.suffix(name).alias("suffix"), "text", "lang")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, each once."""
+    return table(spark, d, "chunks").dropDuplicates(["seq", "chunk_idx"])
+
+
+def word_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.word_count("text").alias("words"))
+
+
+def line_counts(spark, d):
+    u = X.newlines("text")
+    return table(spark, d, "documents").select("doc_id", X.lines_split(u).alias("split"), X.lines_read(u).alias("read"), X.lines_counted(u).alias("counted"))
+
+
+def stripped(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.strip("text").alias("stripped"))
+
+
+def file_md5(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("hash"))
+
+
+def text_pieces(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(X.pieces("text", 4096)).alias("idx", "piece"))
+
+
+def file_routes(spark, d):
+    s = X.suffix("name")
+    return table(spark, d, "files").select("seq", "name", s.alias("suffix"), chunkers.subdir(s).alias("subdir"), chunkers.is_documentation(F.col("name")).alias("is_doc")).distinct()
+
+
+def ignored_files(spark, d):
+    return table(spark, d, "files", "seq", "path").distinct().where(ignore.ignored(F.col("path"), RULES))
+
+
+def pruned_files(spark, d):
+    return table(spark, d, "files", "seq", "path").distinct().where(ignore.in_skipped_folder(F.col("path"), SKIP_DIRS))
+
+
+def large_files(spark, d):
+    return table(spark, d, "files", "seq", "path", "size").where(ignore.too_large(F.col("size"), MAX_SIZE)).distinct()
+
+
+def markdown_sections(spark, d):
+    rows = _documents(spark, d).where("lang = 'markdown' and text is not null")
+    return rows.select("doc_id", F.posexplode(chunkers.markdown(X.newlines("text"))).alias("idx", "c")).select("doc_id", "idx", "c.header", "c.content")
+
+
+def html_chunks(spark, d):
+    rows = _documents(spark, d).where("lang = 'html' and text is not null")
+    return rows.select("doc_id", F.posexplode(chunkers.html(X.newlines("text"))).alias("idx", "c")).select("doc_id", "idx", "c.type", "c.content")
+
+
+def css_rules(spark, d):
+    rows = _documents(spark, d).where("lang = 'css' and text is not null")
+    return rows.select("doc_id", F.posexplode(chunkers.css(X.newlines("text"))).alias("idx", "c")).select("doc_id", "idx", "c.type", "c.content")
+
+
+def python_chunks(spark, d):
+    rows = chunkers.chunk(_documents(spark, d).where("lang = 'python'").withColumn("suffix", F.lit(".py")))
+    return rows.select("doc_id", "chunk_idx", "type", "name", "docstring", "code", F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("methods"), "lines")
+
+
+def file_chunks(spark, d):
+    """All documents but Python through the router."""
+    rows = _documents(spark, d).where("text is not null and (suffix is null or suffix <> '.py')")
+    return chunkers.chunk(rows.select("doc_id", "name", "suffix", "text")).where("type = 'file'").select("doc_id", "chunk_idx", "subdir", "name", "content", "lines")
+
+
+def chunk_texts(spark, d):
+    """Chunks that have a form of their own, as text."""
+    rows = _chunks(spark, d).where("type in ('function', 'class', 'comments', 'file', 'html_script', 'html_style', 'css_rule')")
+    f = format_chunk()
+    return rows.select("seq", "chunk_idx", f.alias("formatted"), X.word_count(f).alias("words"))
+
 
-def _state(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+def section_texts(spark, d):
+    """Chunks that print as a mapping, as text."""
+    f = format_chunk()
+    return _chunks(spark, d).where("type is null or type in ('html', 'css')").select("seq", "chunk_idx", f.alias("formatted"), X.word_count(f).alias("words"))
+
+
+def strict_texts(spark, d):
+    f = format_chunk("strict")
+    return _chunks(spark, d).where("type is null").select("seq", "chunk_idx", f.alias("formatted"), X.word_count(f).alias("words"))
+
+
+def _sized(spark, d):
+    return _chunks(spark, d).select("seq", "chunk_idx", "subdir", F.coalesce(X.word_count(F.coalesce("code", "content")), F.lit(0)).cast("bigint").alias("words"))
+
+
+def pack_bins(spark, d):
+    return packing.next_fit(_sized(spark, d), MAX_WORDS, ["seq", "chunk_idx"])
+
+
+def pack_files(spark, d):
+    sized = _sized(spark, d)
+    bins = packing.next_fit(sized, MAX_WORDS, ["seq", "chunk_idx"]).join(sized.select("seq", "chunk_idx", "subdir"), ["seq", "chunk_idx"])
+    return packing.files(bins, ["seq", "chunk_idx"])
+
+
+def file_metadata(spark, d):
+    files = table(spark, d, "files", "seq", "repo", "path").distinct()
+    return metadata.per_file(files, _sized(spark, d).select("seq", "words"), ["seq"]).select("seq", "repo", "path", "chunks", "words")
+
+
+def run_summary(spark, d):
+    sized = _sized(spark, d)
+    per = sized.groupBy("seq").agg(F.sum("words").alias("words"))
+    return metadata.summary(per)
+
+
+def entry_count(spark, d):
+    return metadata.entries(table(spark, d, "files", "seq").distinct())
+
+
+def _state(spark, d):
+    """The last saved hash of each path of a repository, whatever its run."""
+    rows = table(spark, d, "hashes").select(F.concat_ws(":", "repo", "path").alias("path"), "run_id", "hash")
+    return rows.groupBy("path").agg(F.max(F.struct("run_id", "hash")).alias("r")).select("path", "r.hash")
+
+
+def _listed(spark, d):
+    rows = changes.latest(table(spark, d, "files")).where("hash is not null")
+    return rows.select(F.concat_ws(":", "repo", "path").alias("path"), "hash", "seq")
+
+
+def changed_files(spark, d):
+    return state.changed(_listed(spark, d), _state(spark, d)).select("seq", "path", "hash")
+
+
+def unchanged_files(spark, d):
+    return state.unchanged(_listed(spark, d), _state(spark, d)).select("seq", "path", "hash")
+
+
+def state_upsert(spark, d):
+    return state.upsert(_state(spark, d), _listed(spark, d))
+
+
+def comment_lines(spark, d):
+    rows = _chunks(spark, d).where("type = 'comments'")
+    return rows.select("seq", "chunk_idx", F.array_join(F.transform("comments", lambda c: F.concat(F.lit("Line "), c["line"].cast("string"), F.lit(": "), c["text"])), "\n").alias("joined"))
+
+
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     return tuple(table(spark, d, n) for n in ("files", "hashes", "processed", "runs"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return changes.pending(*_state(spark, d)).select("seq")
+def p2_found(spark, d):
+    return changes.pending(*_tables(spark, d)).select("seq")
+
+
+def p2_committed(spark, d):
+    return changes.committed(*_tables(spark, d)[1:])
+
 
+def p2_replayed(spark, d):
+    """The listing taken in by batches, of which one is interrupted after its result is written and replayed."""
+    folder = f"{shared_dir(spark)}/grainmill-changes-{uuid.uuid4().hex}"
+    run = changes.ChangeRun(spark, folder, lambda: changes.change_log(table(spark, d, "files")))
+    number, ranges = run.plan()
+    run.rows(ranges).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")  # no commit: the run is lost here
+    while run.run(lambda rows: rows):
+        pass
+    return run.result().select("repo", "path", "seq", "hash", F.col("offset").alias("listed_us"))
 
-QUERIES = [p2_found]
-ORACLES: dict[str, str] = {}
+
+QUERIES = [
+    p2_found, p2_committed, p2_replayed, word_counts, line_counts, stripped, file_md5, text_pieces, file_routes, ignored_files, pruned_files, large_files,
+    markdown_sections, html_chunks, css_rules, python_chunks, file_chunks, chunk_texts, section_texts, strict_texts, pack_bins, pack_files,
+    file_metadata, run_summary, entry_count, changed_files, unchanged_files, state_upsert, comment_lines,
+]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
+
+
+_NL = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
+_STRIP = lambda c: f"regexp_replace(regexp_replace({c}, '^[{X.WS}]+', ''), '[{X.WS}]+$', '')"
+_WORDS = lambda c: f"CAST(len(regexp_extract_all({c}, '[^{X.WS}]+')) AS INTEGER)"
+_COUNT = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
+_NAME = "regexp_extract(path, '([^/]*)$', 1)"
+_SUFFIX = lambda c: f"regexp_extract({c}, '(?s)^.+(\\.[^.]+)$', 1)"
+_SUBDIR = lambda s: f"CASE {s} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SUBDIRS.items()) + " ELSE 'other' END"
+_ONCE = "(SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY seq, chunk_idx ORDER BY loaded_at) = 1)"
+_REL = (
+    "regexp_replace(CASE WHEN regexp_matches(p, '^([A-Za-z]:)?/') AND instr(p, '/' || repo || '/') > 0 THEN substring(p, instr(p, '/' || repo || '/') + length(repo) + 2) ELSE p END, '^(\\./)+', '')"
+)
+_SLASHED = "regexp_replace(replace(path, '\\', '/'), '/{2,}', '/', 'g')"
+_LATEST = f"""
+latest AS (
+  SELECT seq, repo, {_REL} AS path, hash, listed_at FROM (
+    SELECT seq, repo, {_SLASHED} AS p, nullif(lower(trim(hash)), '') AS hash, listed_at FROM files WHERE seq IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY seq ORDER BY listed_at DESC NULLS LAST, nullif(lower(trim(hash)), '') DESC NULLS LAST, repo DESC NULLS LAST, path DESC NULLS LAST) = 1))
+"""
+_COMMITTED = f"""
+log AS (SELECT run_id, repo, {_REL} AS path, nullif(lower(trim(hash)), '') AS hash, saved_at FROM (SELECT *, {_SLASHED} AS p FROM hashes) WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'ok')),
+done AS (SELECT DISTINCT run_id, repo, {_REL} AS path FROM (SELECT *, {_SLASHED} AS p FROM processed)),
+held AS (
+  SELECT repo, path, hash, run_id AS "offset" FROM log WHERE EXISTS (SELECT 1 FROM done d WHERE d.run_id = log.run_id AND d.repo = log.repo AND d.path = log.path)
+  QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY run_id DESC, saved_at DESC NULLS LAST, hash DESC NULLS LAST) = 1)
+"""
+_STATE = "state AS (SELECT concat_ws(':', repo, path) AS path, hash FROM hashes QUALIFY row_number() OVER (PARTITION BY concat_ws(':', repo, path) ORDER BY run_id DESC, hash DESC NULLS LAST) = 1)"
+_LISTED = "listed AS (SELECT concat_ws(':', repo, path) AS path, hash, seq FROM latest WHERE hash IS NOT NULL)"
+_SIZED = f"sized AS (SELECT seq, chunk_idx, subdir, CAST(coalesce({_WORDS('coalesce(code, content)')}, 0) AS BIGINT) AS words FROM {_ONCE})"
+_BINS = f"""
+{_SIZED},
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq, chunk_idx) AS i, sum(words) OVER (ORDER BY seq, chunk_idx ROWS UNBOUNDED PRECEDING) AS upto FROM sized),
+starts AS (
+  SELECT CAST(0 AS BIGINT) AS bin, CAST(1 AS BIGINT) AS i, CAST(0 AS HUGEINT) AS base
+  UNION ALL
+  SELECT s.bin + 1, n.i, n.upto - n.words FROM starts s, LATERAL (SELECT i, upto, words FROM numbered WHERE i > s.i AND upto - s.base > {MAX_WORDS} ORDER BY i LIMIT 1) n),
+binned AS (SELECT n.seq, n.chunk_idx, n.subdir, n.words, s.bin FROM numbered n ASOF JOIN starts s ON n.i >= s.i)
+"""
+_DOC = lambda title: f"'{title}: ' || coalesce(name, 'None') || CASE WHEN coalesce(docstring, '') <> '' THEN chr(10) || 'Docstring:' || chr(10) || docstring ELSE '' END || chr(10) || 'Code:' || chr(10) || coalesce(code, 'None')"
+_ESC = lambda c: f"replace(replace(replace(replace({c}, '\\', '\\\\'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r')"
+_REPR = lambda c: f"""CASE WHEN {c} IS NULL THEN 'None' WHEN contains({c}, '''') AND NOT contains({c}, '"') THEN '"' || {_ESC(c)} || '"' ELSE '''' || replace({_ESC(c)}, '''', '\\''') || '''' END"""
+_FORMATTED = f"""
+CASE type WHEN 'function' THEN {_DOC('Function')} WHEN 'class' THEN {_DOC('Class')}
+WHEN 'comments' THEN 'Comments:' || chr(10) || coalesce(array_to_string(list_transform(comments, lambda c: 'Line ' || c.line || ': ' || coalesce(c.text, 'None')), chr(10)), '')
+WHEN 'file' THEN 'File: ' || coalesce(name, 'None') || chr(10) || 'Content:' || chr(10) || coalesce(content, '')
+WHEN 'html_script' THEN 'HTML Script:' || chr(10) || coalesce(content, '') WHEN 'html_style' THEN 'HTML Style:' || chr(10) || coalesce(content, '')
+WHEN 'css_rule' THEN 'CSS Rule:' || chr(10) || coalesce(content, '') END
+"""
+_SCRIPT, _STYLE, _RULE = "(?is)<script[^>]*>(.*?)</script>", "(?is)<style[^>]*>(.*?)</style>", chunkers.RULE
+_PLAIN = "CASE WHEN header IS NOT NULL THEN header || chr(10) ELSE '' END || coalesce(content, '')"
+_MAPPED = "'Unknown chunk type:' || chr(10) || CASE WHEN type IS NULL THEN '{''header'': ' || (" + _REPR("header") + ") ELSE '{''type'': ' || (" + _REPR("type") + ") END || ', ''content'': ' || (" + _REPR("coalesce(content, '')") + ") || '}'"
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"WITH {_LATEST}, {_COMMITTED} SELECT l.seq FROM latest l LEFT JOIN held h ON l.repo = h.repo AND l.path = h.path WHERE l.hash IS NOT NULL AND (h.hash IS NULL OR h.hash <> l.hash)",
+    "p2_committed": f"WITH {_COMMITTED} SELECT * FROM held",
+    "p2_replayed": f"""WITH log AS (SELECT DISTINCT repo, {_REL} AS path, seq, nullif(lower(trim(hash)), '') AS hash, epoch_us(listed_at) AS listed_us FROM (SELECT *, {_SLASHED} AS p FROM files) WHERE seq IS NOT NULL AND hash IS NOT NULL AND listed_at IS NOT NULL)
+SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY listed_us DESC, seq DESC, hash DESC) = 1""",
+    "word_counts": f"SELECT doc_id, {_WORDS('text')} AS words FROM documents",
+    "line_counts": f"""SELECT doc_id, CAST({_COUNT('u', f'[{X.LINE_ENDS}]')} + CASE WHEN u <> '' AND NOT regexp_matches(u, '[{X.LINE_ENDS}]$') THEN 1 ELSE 0 END AS INTEGER) AS split,
+CAST({_COUNT('u', chr(92) + 'n')} + CASE WHEN u <> '' AND NOT ends_with(u, chr(10)) THEN 1 ELSE 0 END AS INTEGER) AS read, CAST({_COUNT('u', chr(92) + 'n')} + 1 AS INTEGER) AS counted FROM (SELECT doc_id, {_NL} AS u FROM documents)""",
+    "stripped": f"SELECT doc_id, {_STRIP('text')} AS stripped FROM documents",
+    "file_md5": "SELECT doc_id, md5(text) AS hash FROM documents",
+    "text_pieces": "SELECT doc_id, CAST(i AS INTEGER) AS idx, array_to_string(list_slice(string_split(text, ''), i * 4096 + 1, i * 4096 + 4096), '') AS piece FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(ceil(length(text) / 4096.0) AS BIGINT) - 1)) AS i FROM documents WHERE length(text) > 0)",
+    "file_routes": f"SELECT DISTINCT seq, name, {_SUFFIX('name')} AS suffix, {_SUBDIR(_SUFFIX('name'))} AS subdir, name IN ({', '.join(repr(n) for n in DOCUMENTATION)}) AS is_doc FROM files",
+    "ignored_files": """SELECT DISTINCT seq, path FROM files WHERE CASE
+WHEN regexp_matches(path, '(^|/)[^/]*\\.min\\.css(/|$)') THEN true WHEN regexp_matches(path, '(^|/)node_modules/.') THEN true WHEN regexp_matches(path, '(^|/)[ab][^/]*_[^/]*\\.yaml(/|$)') THEN true
+WHEN regexp_matches(path, '(^|/)vendor/.') THEN true WHEN regexp_matches(path, '^tools/[^/]*/[^/]*\\.c(/|$)') THEN true WHEN regexp_matches(path, '^docs/(.+/)?[^/]*\\.md(/|$)') THEN false
+WHEN regexp_matches(path, '(^|/)docs/.') THEN true WHEN regexp_matches(path, '(^|/)[^/]*\\.env(/|$)') THEN true ELSE false END""",
+    "pruned_files": "SELECT DISTINCT seq, path FROM files WHERE len(list_filter(string_split(path, '/')[:-2], lambda s: s IN ('node_modules', 'dist', 'build'))) > 0",
+    "large_files": f"SELECT DISTINCT seq, path, size FROM files WHERE size > {MAX_SIZE}",
+    "markdown_sections": f"""WITH lines AS (SELECT doc_id, i, l, CASE WHEN i < n THEN l || chr(10) ELSE l END AS whole, sum(CASE WHEN starts_with(l, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (
+  SELECT doc_id, unnest(string_split(u, chr(10))) AS l, generate_subscripts(string_split(u, chr(10)), 1) AS i, len(string_split(u, chr(10))) AS n FROM (SELECT doc_id, {_NL} AS u FROM documents WHERE lang = 'markdown' AND text IS NOT NULL))),
+sections AS (SELECT doc_id, s, min(i) AS i, max(CASE WHEN starts_with(l, '#') THEN {_STRIP('l')} END) AS header, coalesce(string_agg(CASE WHEN NOT starts_with(l, '#') THEN whole END, '' ORDER BY i), '') AS content FROM lines GROUP BY doc_id, s)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, header, content FROM sections WHERE header IS NOT NULL OR {_STRIP('content')} <> ''""",
+    "html_chunks": f"""WITH found AS (SELECT doc_id, u, list_concat(list_transform(regexp_extract_all(u, '{_SCRIPT}', 1), lambda b: {{'type': 'html_script', 'content': {_STRIP('b')}}}), list_transform(regexp_extract_all(u, '{_STYLE}', 1), lambda b: {{'type': 'html_style', 'content': {_STRIP('b')}}})) AS c
+  FROM (SELECT doc_id, {_NL} AS u FROM documents WHERE lang = 'html' AND text IS NOT NULL)),
+made AS (SELECT doc_id, CASE WHEN len(c) > 0 THEN c ELSE [{{'type': 'html', 'content': u}}] END AS c FROM found)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, c[i].type AS type, c[i].content AS content FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM made)""",
+    "css_rules": f"""WITH cut AS (SELECT doc_id, u, list_transform(list_filter(string_split(regexp_replace(u, '{_RULE}', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)), lambda p: contains(p, '{{') AND {_STRIP('p')} <> ''), lambda p: {{'type': 'css_rule', 'content': {_STRIP('p')}}}) AS c
+  FROM (SELECT doc_id, {_NL} AS u FROM documents WHERE lang = 'css' AND text IS NOT NULL)),
+made AS (SELECT doc_id, CASE WHEN len(c) > 0 THEN c ELSE [{{'type': 'css', 'content': u}}] END AS c FROM cut)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, c[i].type AS type, c[i].content AS content FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM made)""",
+    "file_chunks": f"""SELECT doc_id, CAST(0 AS INTEGER) AS chunk_idx, {_SUBDIR('suffix')} AS subdir, name, u AS content, CAST({_COUNT('u', chr(92) + 'n')} + 1 AS INTEGER) AS lines
+FROM (SELECT doc_id, {_NL} AS u, {_NAME} AS name, {_SUFFIX(_NAME)} AS suffix FROM documents WHERE text IS NOT NULL) WHERE coalesce(suffix, '') NOT IN ('.py', '.md', '.markdown', '.html', '.css')""",
+    "chunk_texts": f"SELECT seq, chunk_idx, formatted, {_WORDS('formatted')} AS words FROM (SELECT seq, chunk_idx, {_FORMATTED} AS formatted FROM {_ONCE} WHERE type IN ('function', 'class', 'comments', 'file', 'html_script', 'html_style', 'css_rule'))",
+    "section_texts": f"SELECT seq, chunk_idx, formatted, {_WORDS('formatted')} AS words FROM (SELECT seq, chunk_idx, {_MAPPED} AS formatted FROM {_ONCE} WHERE type IS NULL OR type IN ('html', 'css'))",
+    "strict_texts": f"SELECT seq, chunk_idx, formatted, {_WORDS('formatted')} AS words FROM (SELECT seq, chunk_idx, {_PLAIN} AS formatted FROM {_ONCE} WHERE type IS NULL)",
+    "pack_bins": f"WITH RECURSIVE {_BINS} SELECT seq, chunk_idx, words, bin FROM binned",
+    "pack_files": f"""WITH RECURSIVE {_BINS}, per AS (SELECT bin, arg_min(subdir, (seq, chunk_idx)) AS first, sum(words)::BIGINT AS words, count(*) AS chunks FROM binned GROUP BY bin),
+placed AS (SELECT bin, coalesce(lead(first) OVER (ORDER BY bin), 'remaining') AS subdir, words, chunks FROM per)
+SELECT bin, subdir, CAST(row_number() OVER (PARTITION BY subdir ORDER BY bin) - 1 AS INTEGER) AS file_idx, subdir || '/chunk_' || (row_number() OVER (PARTITION BY subdir ORDER BY bin) - 1) || '.txt' AS rel_file, words, chunks FROM placed""",
+    "file_metadata": f"WITH {_SIZED}, per AS (SELECT seq, count(*) AS chunks, sum(words)::BIGINT AS words FROM sized GROUP BY seq) SELECT f.seq, f.repo, f.path, coalesce(p.chunks, 0) AS chunks, coalesce(p.words, 0) AS words FROM (SELECT DISTINCT seq, repo, path FROM files) f LEFT JOIN per p USING (seq)",
+    "run_summary": f"WITH {_SIZED} SELECT count(DISTINCT seq) AS total_files_processed, coalesce(sum(words), 0)::BIGINT AS total_words FROM sized",
+    "entry_count": "SELECT count(DISTINCT seq) AS entries FROM files",
+    "changed_files": f"WITH {_LATEST}, {_LISTED}, {_STATE} SELECT seq, path, hash FROM listed l WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.path = l.path AND s.hash = l.hash)",
+    "unchanged_files": f"WITH {_LATEST}, {_LISTED}, {_STATE} SELECT seq, path, hash FROM listed l WHERE EXISTS (SELECT 1 FROM state s WHERE s.path = l.path AND s.hash = l.hash)",
+    "state_upsert": f"WITH {_LATEST}, {_LISTED}, {_STATE} SELECT path, hash FROM state s WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.path = s.path) UNION ALL SELECT path, hash FROM listed",
+    "comment_lines": f"SELECT seq, chunk_idx, array_to_string(list_transform(comments, lambda c: 'Line ' || c.line || ': ' || c.text), chr(10)) AS joined FROM {_ONCE} WHERE type = 'comments'",
+}
