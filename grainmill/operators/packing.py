@@ -29,10 +29,12 @@ def _starts(words: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return total, np.minimum(np.maximum(after, np.arange(n) + 1), n)
 
 
-def summarise(words: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
-    """``(most, left, closed)``: with at most ``most`` words in the open file, ``left`` are in it after the block and ``closed`` files were closed.
+def summarise(words: np.ndarray, limit: int) -> list[tuple[int, int, int, int]]:
+    """``(most, left, closed, same)``: with at most ``most`` words in the open file, ``left`` are in it after the block and ``closed`` files were closed.
 
-    Entries ascend; the last has no bound (-1 stands for it) unless the block is empty.
+    ``same`` is 1 if none was, and ``left`` come to the words before. Entries ascend; the last,
+    for more words than fit at all, is also what a block does that begins a file. There are no
+    more entries than chunks in one file, and two.
     """
     n = len(words)
     total, after = _starts(words, limit)
@@ -40,24 +42,18 @@ def summarise(words: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
     for i in range(n - 1, -1, -1):
         k = after[i]
         left[i], closed[i] = (total[n] - total[i], 0) if k >= n else (left[k], closed[k] + 1)
-    out: list[tuple[int, int, int]] = []
-    # c words in the open file: chunk j closes it, the first with c + total[j + 1] > limit
-    spare = limit - total[1:]  # chunk j fits while c <= spare[j]
-    bound = limit + 1
-    first = np.minimum.accumulate(spare) if n else spare
+    out = [(1 << 62, int(left[0]), int(closed[0]) + 1, 0)]
+    first = np.minimum.accumulate(limit - total[1:])  # chunks 0..j fit while at most first[j] words are there
+    bound = limit
     for j in range(n):
-        if first[j] < 0 and j and first[j - 1] < 0:
+        if first[j] < bound:  # with more than first[j], up to bound, words chunk j closes the file
+            out.append((int(bound), int(left[j]), int(closed[j]) + 1, 0))
+            bound = first[j]
+        if bound < 0:
             break
-        low = max(first[j] + 1, 0)
-        if low < bound:
-            out.append((int(bound) - 1, int(left[j]), int(closed[j]) + 1, int(low)))
-            bound = low
-        if low == 0:
-            break
-    rows = [(most, lft, cl, 0) for most, lft, cl, _ in out]
-    if bound > 0:  # few enough words that nothing is closed
-        rows.append((int(bound) - 1, int(total[n]), 0, 1))
-    return [(m, lft, cl, same) for m, lft, cl, same in sorted(rows)]
+    if bound >= 0:
+        out.append((int(bound), int(total[n]), 0, 1))
+    return out[::-1]
 
 
 def numbered(words: np.ndarray, limit: int, inside: int, number: int, begun: bool) -> np.ndarray:
@@ -108,15 +104,11 @@ def next_fit(chunks: DataFrame, limit: int, order: list[str], words: str = "word
             nonlocal inside, number, begun
             out.append((block, inside, number, begun))
             if not begun:  # nothing to close: a file begins with the first chunk, as after a full one
-                most, left, closed, _ = rows[-1]
+                _, left, closed, _ = rows[-1]
                 inside, number, begun = left, number + closed - 1, True
                 return
-            for most, left, closed, same in rows:
-                if inside <= most:
-                    inside, number = (inside + left if same else left), number + closed
-                    return
-            most, left, closed, same = rows[-1]
-            inside, number = left, number + closed
+            _, left, closed, same = next(r for r in rows if inside <= r[0])
+            inside, number = (inside + left if same else left), number + closed
 
         for batch in batches:
             for b, *row in zip(*(c.to_pylist() for c in batch.columns)):
