@@ -214,8 +214,6 @@ def lex_braces(text: str, suffix: str) -> str | None:
                 return "unterminated literal"
             if operand and not line_end and not (kind == "w" and (prev in keywords or native)) and not (kind == "s" and native):
                 return "grammar"
-            if script and prev in ASSIGN and False:
-                return "grammar"
         elif k == "t":
             if not script:
                 return "foreign character"
@@ -238,7 +236,7 @@ def lex_braces(text: str, suffix: str) -> str | None:
                 return "grammar"
             if t in foreign and at < n and re.compile(r"[ \t]+[A-Za-z_$]").match(text, at) and (prev in (";", "{", "}") or line_end):
                 return "grammar"
-            if prev in BINARY and prev not in ("=>", "->", "::", ".", "?.") and t in STATEMENTS:
+            if prev in BINARY and prev not in ("=>", "->", "::", ".", "?.") and t in STATEMENTS and t != "default":
                 return "grammar"
             if t in PARENS and not (prev in (".", "?.") or script and prev in ("{", ",")) and not re.compile(r"[ \t\r\n]*(?:\(|await\b|constexpr\b|/[/*]|:)").match(text, at) and not (t == "catch" and re.compile(r"\s*\{").match(text, at)):
                 return "grammar"
@@ -328,7 +326,7 @@ def lex_braces(text: str, suffix: str) -> str | None:
                         return "grammar"
             elif t == "," and (prev in (",", "(", ";") and not (script and stack and stack[-1][0] == "[")) and not (prev in (",", "(") and script and stack and stack[-1][0] == "["):
                 return "grammar"
-            elif t == ";" and prev in BINARY and not (prev in ("=",) and False) and not (prev == "/" and script) and not (prev == "." and kind2 == "n"):
+            elif t == ";" and prev in BINARY and not (prev == "/" and script) and not (prev == "." and kind2 == "n"):
                 return "grammar"
             elif t == "," and prev in BINARY and prev not in ("=>",) and before != "operator":
                 return "grammar"
@@ -337,6 +335,8 @@ def lex_braces(text: str, suffix: str) -> str | None:
             elif t == ":":
                 if questions:
                     questions -= 1
+                elif strict and not stack and kind == "w" and (suffix != ".cpp" or before in (";", "}", "")) and prev not in ("public", "private", "protected"):
+                    return "grammar"
                 elif suffix == ".js" and stack and stack[-1][0] == "(" and kind == "w" and stack[-1][1] not in ("for",):
                     return "grammar"
                 elif suffix == ".js" and declared and stack[-1:] and stack[-1][2] and kind == "w":
@@ -349,8 +349,6 @@ def lex_braces(text: str, suffix: str) -> str | None:
                 return "grammar"
             elif t == "@" and native:
                 return "foreign character"
-            elif t == "." and kind == "w" and kind2 == "w" and False:
-                return "grammar"
             elif t == "<" and prev in (";",) and kind in ("", "o") and suffix != ".ts":
                 return "grammar"
         if k == "w" and t in ("let", "const", "var") and script:
