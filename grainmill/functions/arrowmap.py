@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import shipped
+
 
 def _schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -33,4 +35,4 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
-    return df.mapInArrow(run, spark_schema)
+    return shipped(df).mapInArrow(run, spark_schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import partitions, stage
+from ..session import partitions, shipped, stage
 
 REMAINING = "remaining"
 
@@ -82,7 +82,7 @@ def next_fit(chunks: DataFrame, limit: int, order: list[str], words: str = "word
     """
     import pyarrow as pa
 
-    spark = chunks.sparkSession
+    spark = shipped(chunks).sparkSession
     narrow = chunks.select(*order, F.greatest(F.coalesce(F.col(words), F.lit(0)), F.lit(0)).cast("bigint").alias("words"))
     ranged = narrow.repartitionByRange(blocks or partitions(spark), *order).sortWithinPartitions(*order)
     held = stage(ranged.withColumn("block", F.spark_partition_id()), "blocks")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import RunConfig, validate_directory
 from ..functions.formatting import format_chunk
 from ..functions.text import word_count
+from ..session import ship
 from ..operators import chunkers, ignore, metadata, packing, state
 from ..sources import listing, reader, sinks
 
@@ -28,6 +29,7 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, config: RunConfig):
         self.spark, self.config = spark, config
+        ship(spark)
 
     def listed(self) -> DataFrame:
         return listing.listing(self.spark, self.config.repo_path)

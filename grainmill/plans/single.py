@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from ..functions.formatting import format_chunk
 from ..functions.library import SUBDIRS
 from ..operators import chunkers
+from ..session import ship
 from ..sources.reader import read_text
 
 log = logging.getLogger(__name__)
@@ -20,6 +21,7 @@ class FileChunker:
 
     def __init__(self, spark: SparkSession, mode: str = "compat"):
         self.spark, self.mode = spark, mode
+        ship(spark)
 
     def _table(self, path: str):
         name = os.path.basename(path)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,32 @@ def _remove(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:  # the session has gone, and its folder with it
         pass
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once for a session.
+
+    Nothing is done where they have it: on the ``PYTHONPATH`` they share with the driver, or as
+    one of Spark's own Python files.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    sc = spark.sparkContext
+    if getattr(sc, "_grainmill", False) or not os.path.isdir(package):
+        return
+    sc._grainmill = True
+    if root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="grainmill-"), "grainmill.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(target)  # served by the driver
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, whose executors have the package."""
+    ship(df.sparkSession)
+    return df

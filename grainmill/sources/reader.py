@@ -7,6 +7,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import shipped
+
 #: Files of an Arrow batch; with the size limit this bounds a worker's memory.
 BATCH = 16
 
@@ -38,4 +40,4 @@ def read_files(files: DataFrame, path_col: str = "abs_path") -> DataFrame:
                 got = [read_text(p) for p in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in zip(*got))], names=[*names, "text", "hash", "error"])
 
-    return files.mapInArrow(run, f"{types}, text string, hash string, error string")
+    return shipped(files).mapInArrow(run, f"{types}, text string, hash string, error string")

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
+
 
 def write_texts(rows: DataFrame, folder: str, order: list[str]) -> DataFrame:
     """Write ``formatted`` of all rows of a ``rel_file``, in order, each followed by a blank line.
@@ -36,4 +38,4 @@ def write_texts(rows: DataFrame, folder: str, order: list[str]) -> DataFrame:
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["rel_file", "chars"])
 
-    return joined.mapInArrow(run, "rel_file string, chars bigint")
+    return shipped(joined).mapInArrow(run, "rel_file string, chars bigint")
