@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
+
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
 
 #: Code points of the White_Space property, without the blank.
@@ -32,6 +34,9 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Pieces that a worker keeps merged; the cache is emptied beyond that number.
 CACHE = 1 << 20
 
+#: Characters that are encoded at once.
+BLOCK = 1 << 20
+
 #: A rank beyond all ranks.
 NEVER = 1 << 30
 
@@ -252,7 +257,8 @@ class Encoder:
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         wide = (points == 0) | (points > 127)
         raw[:n] = np.where(wide, 0, points)
-        foreign = np.concatenate([[0], np.cumsum(wide)])
+        foreign = np.zeros(n + 1, np.int32)
+        np.cumsum(wide, out=foreign[1:])
         short = np.flatnonzero((length <= 8) & (foreign[ends] == foreign[starts]))
         words = np.ndarray((n,), "<u8", raw.data, 0, (1,))[starts[short]] & MASKS[length[short]]
         place = ((words * MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -270,7 +276,27 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end as int32, and the offsets of each text's ids; null counts as empty."""
+        """All ids end to end as int32, and the offsets of each text's ids; null counts as empty.
+
+        Texts are laid end to end in blocks of ``BLOCK`` characters, a longer one by itself,
+        which bounds the arrays whatever the size of the batch.
+        """
+        cuts, size = [0], 0
+        for k, t in enumerate(texts):
+            n = len(t) if t else 0
+            if size and size + n > BLOCK:
+                cuts.append(k)
+                size = 0
+            size += n
+        cuts.append(len(texts))
+        parts = [self._encode(texts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        if len(parts) == 1:
+            return parts[0]
+        base = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in parts])])
+        ends = [at[1:] + b for (_, at), b in zip(parts, base)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], *ends])
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         whole, starts, at = self.pieces([t or "" for t in texts])
         if not whole:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
@@ -312,7 +338,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    return shipped(rows).mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def count(df: DataFrame, text_col: str = "text", path: str | None = None, name: str = "n_tokens") -> DataFrame:
@@ -333,4 +359,4 @@ def count(df: DataFrame, text_col: str = "text", path: str | None = None, name:
 
     rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), f"`{name}` bigint"])
-    return rows.mapInArrow(run, schema)
+    return shipped(rows).mapInArrow(run, schema)

@@ -46,6 +46,14 @@ def test_cache_is_emptied(monkeypatch, reference):
     assert ids.tolist() == reference(["one two three four five six"])[0]
 
 
+def test_blocks(monkeypatch, reference):
+    rnd = random.Random(3)
+    texts = [None, "", *("".join(rnd.choices(ALPHABET, k=rnd.randint(0, 60))) for _ in range(300)), ""]
+    monkeypatch.setattr(T, "BLOCK", 64)
+    assert encoded(texts) == reference(texts)
+    assert encoded([]) == [] and encoded([None]) == [[]]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "a b", 9), (3, "a b", 9), (None, "x", 9)], "doc_id long, text string, ids int")
     rows = sorted(T.encode(df).collect(), key=repr)
