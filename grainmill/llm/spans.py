@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import partitions, stage
+from ..session import partitions, shipped, stage
 
 SPAN = 200
 M = 100
@@ -37,13 +37,13 @@ FEW = 64
 
 #: Factor of the rolling hash, odd; characters that are hashed at once.
 FACTOR = 0x9E3779B97F4A7C15
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 #: Low bits of a minimiser's rank that hold the place, so that the leftmost of equals is least.
 PLACE_BITS = 28
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=16)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for factor in (FACTOR, pow(FACTOR, -1, 1 << 64)):
@@ -56,7 +56,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _rolling(points: np.ndarray, m: int) -> np.ndarray:
     """A mixed 64-bit hash of every run of ``m`` characters."""
     n = len(points)
-    up, down = _powers(1 << max(12, (n + 1 - 1).bit_length()))
+    up, down = _powers(1 << max(12, n.bit_length()))
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
     h = (prefix[m:] - prefix[:-m]) * down[: n - m + 1]
@@ -142,7 +142,7 @@ def entries(docs: DataFrame, span: int = SPAN, m: int = M) -> DataFrame:
                         names=["key", "doc_id", "pos", "run"],
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key bigint, doc_id bigint, pos int, run int")
+    return shipped(docs).select("doc_id", "text").mapInArrow(run, "key bigint, doc_id bigint, pos int, run int")
 
 
 def super_kmers(docs: DataFrame, found: DataFrame, span: int = SPAN, m: int = M) -> DataFrame:
@@ -231,7 +231,7 @@ def _compared(strings: DataFrame, span: int, m: int) -> DataFrame:
             yield batch_of(list(dict.fromkeys(out)))
 
     rows = strings.select("key", "doc_id", "pos", "run", "ahead", "s")
-    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, FOUND)
+    return shipped(rows).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, FOUND)
 
 
 def _windowed(strings: DataFrame, span: int, m: int) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +251,7 @@ def _windowed(strings: DataFrame, span: int, m: int) -> tuple[DataFrame, DataFra
                     names=["digest", "doc_id", "begin", "end"],
                 )
 
-    windows = strings.select("doc_id", "pos", "run", "ahead", "s").mapInArrow(run, "digest binary, doc_id bigint, begin int, end int")
+    windows = shipped(strings).select("doc_id", "pos", "run", "ahead", "s").mapInArrow(run, "digest binary, doc_id bigint, begin int, end int")
     windows = stage(windows, "windows")
     member = windows.select("digest", "doc_id").distinct()
     sets = member.groupBy("digest").agg(
