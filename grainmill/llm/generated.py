@@ -3,7 +3,7 @@
 One pass over the chunks yields signs that a file carries in itself (a generator's mark in a
 comment line of its own, a library's banner, text without blanks on very long lines, mostly
 data, the form of a lock or map file) and the winnowed fingerprints of its normalised text:
-lower case without white space, hashed in runs of ``K`` characters, the least hash of every
+lower case without comments, literals and white space, hashed in runs of ``K`` characters, the least hash of every
 ``WINDOW`` runs kept. A file is a vendored copy if at least half of its fingerprints are found in
 ``REPOS`` or more repositories. Fingerprints are counted by repository first, so that one that a
 third of all rows holds is combined before the shuffle. Files without content are judged by path.
@@ -55,6 +55,23 @@ LEAD = re.compile(r"^[ \t]*(?://+|#+|/\*+!?|\*+|<!--|--|;+|%+)[ \t]*(?P<said>\S[
 DATA = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)[uUlLfF]*\s*,\s*){8,}|[A-Za-z0-9+/=_-]{64,}|(?:\\x[0-9a-fA-F]{2}|\\\d{3}){8,}|(?:[0-9a-fA-F]{2}\s+){16,}")
 
 
+_STR = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
+MARKUP = re.compile(r"<!--[\s\S]*?(?:-->|\Z)")
+#: Comments and literals, which normalised text is without.
+ASIDE = {
+    "py": re.compile(rf"#[^\n]*|\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|{_STR}"),
+    "css": re.compile(r"/\*[\s\S]*?(?:\*/|\Z)"),
+    "c": re.compile(rf"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z)|{_STR}"),
+}
+
+
+def without_asides(text: str, kind: str | None, suffix: str) -> str:
+    """Source text with a quotation mark in place of each comment and literal; of markup without its comments."""
+    if text.lstrip()[:1] == "<":
+        return MARKUP.sub("", text)
+    return ASIDE["py" if suffix == "py" else "css" if suffix == "css" or kind == "html_style" else "c"].sub('"', text)
+
+
 def signs(kind: str | None, text: str | None, comments: list[dict] | None, suffix: str) -> str | None:
     """What a chunk says about how its file came to be, or null."""
     if comments:
@@ -84,15 +101,15 @@ def signs(kind: str | None, text: str | None, comments: list[dict] | None, suffi
         if sum(len(m.group()) for m in DATA.finditer(text)) >= DATA_SHARE * len(text):
             return "data"
     if len(text) >= LONG and max(map(len, text.split("\n"))) >= LONG and kind in ("file", "html_script", "html_style", "css_rule", "css"):
-        blanks = len(text) - sum(map(len, text.split()))
-        if blanks < BLANKS * len(text) and not re.search(r"[^\x00-\x7f]{40}", text) and len(re.findall(r"\\u[0-9a-fA-F]{4}", text)) * 6 < 0.2 * len(text):
+        bare = without_asides(text, kind, suffix)
+        if len(bare) >= LONG and max(map(len, bare.split("\n"))) >= LONG and len(bare) - sum(map(len, bare.split())) < BLANKS * len(bare):
             return "minified"
     return None
 
 
-def fingerprints(text: str) -> np.ndarray:
+def fingerprints(text: str, kind: str | None = "file", suffix: str = "js") -> np.ndarray:
     """The winnowed hashes of a text, each once."""
-    bare = "".join(text.split()).lower()
+    bare = "".join(without_asides(text, kind, suffix).split()).lower()
     points = np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(points) < K:
         return np.empty(0, np.int64)
@@ -111,7 +128,7 @@ def evidence(chunks: DataFrame) -> DataFrame:
                 if sign:
                     yield seq, repo, sign, None
                 if text and suffix in SOURCE:
-                    for p in fingerprints(text).tolist():
+                    for p in fingerprints(text, kind, suffix).tolist():
                         yield seq, repo, None, p
 
         return each

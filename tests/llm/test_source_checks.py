@@ -110,6 +110,8 @@ def test_not_handwritten(spark):
         chunk(14, "c.py", "comments", comments=[(1, "Fichier produit par outil, ne pas modifier à la main")]), chunk(15, "d.py", "comments", comments=[(1, "Reads files that are generated elsewhere")]),
         chunk(16, "e.js", content="t&&(l=v===48?1:null);" * 40), chunk(17, "f.js", content="module.exports = [\n" + "1, 2, 3, 4, 5, 6, 7, 8, 9,\n" * 30 + "];"), chunk(18, "g-lock.json", content='{"lockVersion": 1}'),
         chunk(19, "h.js", content='const x = "' + "1,2," * 60 + '";\n' + own), chunk(20, "i.c", content="/*! lib v1.14.7 | MIT */\nint x;"), chunk(21, None, content=None), chunk(22, "src/vendor_portal/minify.js", content="let a = 1;"),
+        *(chunk(40 + n, f"s{n}.css", "css_rule", content="{ /* " + "the same long remark about nothing in particular stands here " * 4 + f"*/ width: {n}{n}7px; padding: {n * 7}em; margin: {n}91%; color: #{n}f{n}e{n}d; }}", repo=f"r{n}") for n in range(4)),
+        chunk(50, "short.js", content='const x = "' + "31,52," * 200 + '";\nlet y = f(x, 1);\n' + own[:700]),
     ]
     files = spark.createDataFrame([(30, "r", "node_modules/a/b.js"), (31, "r", "x/y_pb2.py"), (32, "r", "src/vendor_portal/a.py"), (33, "r", "z.js.map"), (34, None, None), (35, "r", "lib\\vendor\\q.c"), (30, "r", "node_modules/a/b.js")], "seq long, repo string, path string")
     skipped = spark.createDataFrame([("r", "/srv/r/x/y_pb2.py"), (None, None)], "repo string, path string")
