@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import shipped, stage
 from .ranks import spread_rank
 
 #: Grid of sizes: a capacity up to this is kept exactly, a larger one is divided into so many steps.
@@ -205,4 +205,4 @@ def _hand_out(cut: DataFrame, made: list[tuple[dict[int, int], int]], full: int,
                 out[here] = firsts[at] + (ranks[here] - begins[at]) // each[at]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out)], names=[*batch.schema.names[:-2], "container"])
 
-    return rows.select(*key, "piece", "size", "slot", "rank").mapInArrow(run, f"{types}, container bigint")
+    return shipped(rows).select(*key, "piece", "size", "slot", "rank").mapInArrow(run, f"{types}, container bigint")

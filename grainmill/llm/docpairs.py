@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: One token: string, comment, line break with the next indent, bracket, or other text with brackets closed in it.
 LEX = (
     r'(\"\"\"(?s:.*?)(?<!\\)\"\"\"|' r"'''(?s:.*?)(?<!\\)'''"
@@ -203,4 +205,4 @@ def pairs(chunks: DataFrame) -> DataFrame:
     )
     out = docs.join(parts, [*KEY, "line"]).where("indent = level")
     best = F.max(F.struct(F.length("doc"), F.length("code"), "doc", F.regexp_replace("code", r"\A\n[ \t]*", "").alias("code"))).alias("b")
-    return out.groupBy("seq", F.col("name").alias("func_name")).agg(best).select("seq", "func_name", F.col("b.code").alias("code"), F.trim(F.col("b.doc")).alias("doc"))
+    return out.groupBy("seq", F.col("name").alias("func_name")).agg(best).select("seq", "func_name", F.col("b.code").alias("code"), strip(F.col("b.doc")).alias("doc"))
