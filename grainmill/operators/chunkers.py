@@ -55,11 +55,20 @@ def markdown(text: Column) -> Column:
     return F.filter(made, lambda c: c["header"].isNotNull() | (X.strip(c["content"]) != ""))
 
 
-def html(text: Column) -> Column:
-    """All script bodies, then all style bodies; the whole page if it has neither."""
+def html(text: Column, mode: str = "compat") -> Column:
+    """All script bodies, then all style bodies; the whole page if it has neither.
+
+    ``strict`` drops empty bodies and adds the text that readers of the page see.
+    """
     of = lambda kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda b: _chunk(type=F.lit(kind), content=X.strip(b)))
     found = F.concat(of("html_script", SCRIPT), of("html_style", STYLE))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(_chunk(type=F.lit("html"), content=text)))
+    page = F.array(_chunk(type=F.lit("html"), content=text))
+    if mode == "strict":
+        found = F.filter(found, lambda c: c["content"] != "")
+        seen = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, SCRIPT, " "), STYLE, " "), r"(?s)<!--.*?-->|<[^>]*>", " ")
+        seen = X.strip(F.regexp_replace(seen, f"[{X.WS}]+", " "))
+        return F.when(F.size(found) > 0, F.concat(F.filter(F.array(_chunk(type=F.lit("html"), content=seen)), lambda c: c["content"] != ""), found)).otherwise(page)
+    return F.when(F.size(found) > 0, found).otherwise(page)
 
 
 def css(text: Column, mode: str = "compat") -> Column:
@@ -133,7 +142,7 @@ def chunked(files: DataFrame, mode: str = "compat", keep: list[str] | None = Non
     lines = F.when(s == ".py", X.lines_split(t)).when(s.isin(".md", ".markdown"), X.lines_read(t)).otherwise(X.lines_counted(t))
     rows = rows.withColumn("lines", F.coalesce(lines, F.lit(0)))
     of_python = python(rows.where(s == ".py").select(*keep, "lines", "text"), mode)
-    made = F.when(s.isin(".md", ".markdown"), markdown(t)).when(s == ".html", html(t)).when(s == ".css", css(t, mode)).otherwise(whole(F.col("name"), t))
+    made = F.when(s.isin(".md", ".markdown"), markdown(t)).when(s == ".html", html(t, mode)).when(s == ".css", css(t, mode)).otherwise(whole(F.col("name"), t))
     others = rows.where(s.isNull() | (s != ".py")).select(*keep, "lines", F.when(t.isNotNull(), made).otherwise(F.array().cast(f"array<{CHUNK}>")).alias("chunks"))
     return of_python.unionByName(others)
 

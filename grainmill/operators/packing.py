@@ -134,6 +134,13 @@ def next_fit(chunks: DataFrame, limit: int, order: list[str], words: str = "word
     return held.join(states, "block").groupBy("block").applyInArrow(number, f"{types}, bin bigint")
 
 
+def files_by_folder(bins: DataFrame) -> DataFrame:
+    """Like ``files`` where every file holds chunks of one folder and lies in it: a bin with chunks of two is two files."""
+    per = bins.groupBy("subdir", "bin").agg(F.sum("words").alias("words"), F.count("*").alias("chunks"))
+    idx = (F.row_number().over(W.partitionBy("subdir").orderBy("bin")) - 1).cast("int")  # one row for each file
+    return per.withColumn("file_idx", idx).select("bin", "subdir", "file_idx", F.concat_ws("/", "subdir", F.concat(F.lit("chunk_"), F.col("file_idx").cast("string"), F.lit(".txt"))).alias("rel_file"), "words", "chunks")
+
+
 def files(bins: DataFrame, order: list[str]) -> DataFrame:
     """``(bin, subdir, file_idx, rel_file, words, chunks)`` of ``bins`` with ``subdir`` of each chunk.
 

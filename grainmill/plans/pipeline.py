@@ -20,6 +20,7 @@ from ..sources import listing, reader, sinks
 log = logging.getLogger(__name__)
 TOO_LARGE = "File exceeds size limit"
 UNCHANGED = "Unchanged file (hash match)"
+IGNORED = "Left out by a rule"
 NO_HASH = "Error computing file hash"
 FAILED = "Error processing file: "
 
@@ -34,23 +35,24 @@ class Pipeline:
     def listed(self) -> DataFrame:
         return listing.listing(self.spark, self.config.repo_path)
 
-    def kept(self, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Files to read, and files that are too large."""
+    def kept(self, listed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Files to read, files that are too large, and files that rules leave out."""
         c = self.config
         rules = ignore.load_rules(c.repo_path, c.skip_patterns)
-        rows = listed.where(~F.col("is_dir")).where(~ignore.ignored(F.col("path"), rules))
+        files = listed.where(~F.col("is_dir"))
+        rows = files.where(~ignore.ignored(F.col("path"), rules))
         if c.mode == "strict":
             out = os.path.relpath(c.output_dir, c.repo_path)
             rows = rows.where(~ignore.in_skipped_folder(F.col("path"), [*c.skip_dirs, ".git"])).where(~F.col("path").startswith(out + "/"))
         large = ignore.too_large(F.col("size"), c.max_file_size)
-        return rows.where(~large), rows.where(large)
+        return rows.where(~large), rows.where(large), files.join(rows.select("seq"), "seq", "left_anti")
 
     def run(self) -> dict[str, DataFrame]:
         c, strict = self.config, self.config.mode == "strict"
         validate_directory(c.output_dir)
         saved = os.path.join(c.output_dir, "hashes.json")
         listed = self.listed()
-        kept, large = self.kept(listed)
+        kept, large, left_out = self.kept(listed)
         held = state.load(self.spark, saved)
         read = reader.read_files(kept).persist(StorageLevel.DISK_ONLY)
         place = "path" if strict else "abs_path"
@@ -71,12 +73,15 @@ class Pipeline:
             .unionByName(state.unchanged(read.where(~broken), held).select("path", F.lit(UNCHANGED).alias("reason")))
             .unionByName(todo.where(undecodable).select(F.col(place).alias("path"), F.concat(F.lit(FAILED), F.regexp_replace("error", "^decode: ", "")).alias("reason")))
         )
+        if strict:
+            skipped = skipped.unionByName(left_out.select("path", F.lit(IGNORED).alias("reason")))
         order = ["seq", "chunk_idx"]
-        bins = packing.next_fit(chunks, c.max_words, order).join(chunks.select(*order, "subdir", "formatted"), order)
+        by = ["subdir", *order] if strict else order
+        bins = packing.next_fit(chunks, c.max_words, by).join(chunks.select(*order, "formatted", *([] if strict else ["subdir"])), order)
         bins = bins.persist(StorageLevel.DISK_ONLY)
-        named = packing.files(bins, order)
+        named = packing.files_by_folder(bins) if strict else packing.files(bins, order)
         total = metadata.summary(processed)
-        written = sinks.write_texts(bins.select(*order, "bin", "formatted").join(named.select("bin", "rel_file"), "bin"), c.output_dir, order)
+        written = sinks.write_texts(bins.select(*order, "bin", "subdir", "formatted").join(named.select("bin", "rel_file", *(["subdir"] if strict else [])), ["bin", *(["subdir"] if strict else [])]).drop("subdir"), c.output_dir, order)
         done = written.agg(F.count("*"), F.sum("chars")).collect()[0]
         log.info("%d output files, %s characters", done[0], done[1])
         self._save_metadata(processed, skipped, total)

@@ -62,6 +62,8 @@ def test_html(spark):
     got, _ = chunks(spark, "page.html", "<SCRIPT src=a></SCRIPT><style>\nx\n</style><script>b</script>")
     assert [(c["type"], c["content"]) for c in got] == [("html_script", ""), ("html_script", "b"), ("html_style", "x")]
     assert [(c["type"], c["content"]) for c in chunks(spark, "page.html", "<p>hi</p>")[0]] == [("html", "<p>hi</p>")]
+    strict, _ = chunks(spark, "page.html", "<p>hi <b>you</b></p><script src=a></script><style>\nx\n</style>", "strict")
+    assert [(c["type"], c["content"]) for c in strict] == [("html", "hi you"), ("html_style", "x")]
 
 
 def test_css(spark):

@@ -69,6 +69,11 @@ def test_small_files_and_modes(spark, tmp_path):
     assert (out / "javascript" / "chunk_0.txt").exists() or (out / "markdown" / "chunk_0.txt").exists()
     _, meta, hashes = run(spark, root, tmp_path / "o2", mode="strict")
     assert "node_modules/m.js" not in hashes and "n.md" in hashes
+    assert {"path": "node_modules/m.js", "reason": "Left out by a rule"} in meta["skipped_files"]
+    (root / "k.js").write_text("a b c")
+    run(spark, root, tmp_path / "o3", mode="strict")
+    assert (tmp_path / "o3" / "javascript" / "chunk_0.txt").read_text() == "File: k.js\nContent:\na b c\n\n"
+    assert (tmp_path / "o3" / "markdown" / "chunk_0.txt").read_text() == "# H\nfour words are here\n\n\n"
 
 
 def test_empty_tree(spark, tmp_path):
