@@ -1,23 +1,26 @@
 """Credentials written out in source code (problem 1).
 
-1. Every text is scanned once for literals in places where credentials stand, and for tokens of
-   mixed characters. Both go, with their line, into a corpus-wide index of literals.
+1. Every text is scanned once for literals in places where credentials stand. They go, with
+   their line, into a corpus-wide index of literals.
 2. The index counts the owners (repositories) of every literal. Values of weak structure that
    many owners share are placeholders and are suppressed, whatever they look like.
 3. Rare values with the structure of a credential are confirmed.
-4. Every line of the index that holds a mixed token of a confirmed value is scanned again by an
-   automaton of the confirmed values routed to it, so that a secret is also found in places that
-   say nothing about it. Routing is a join on the token, so neither the driver nor any task
-   holds all confirmed values.
+4. Every whole text is scanned again for the confirmed values, so that a secret is also found in
+   places that say nothing about it, whatever stands beside it. Of each value one gram of six
+   bytes routes: texts that may hold it, by a filter of fixed size, are joined with the values
+   of the gram and read by an automaton of them, so neither the driver nor any task holds all
+   confirmed values.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +118,8 @@ TRIGGER = re.compile(
     r"bearer|basic |credential|login|log_in|connect\(|session\(|sign_?in\(|bind\(|://|identified|akia|asia[a-z0-9]{16}|gh[pousr]_|github_pat|glpat-|xox|eyj|"
     r"[_-](?:live|test)_|aiza|sg\.|npm_| -u |--user|\buse \S+ (?:on|for|in|at)\b"
 )
-#: Tokens by which a confirmed value is looked for in other places.
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{6,64}(?![A-Za-z0-9_-])")
-PLAIN = re.compile(r"[A-Za-z_]*[A-Za-z_-]\d|[a-z_]+\d{1,2}|[\d_-]+|0x[0-9a-fA-F]+|\d+(?:px|em|rem|ms|s)?")
+#: Bytes of the gram that routes a confirmed value, the bits of the filter of grams as a power of two, and bytes of text looked at at once.
+GRAM, FILTER_BITS, BLOCK = 6, 26, 1 << 20
 
 #: Characters from which on a line is looked at in stretches around its triggers, and their reach.
 LONGEST_LINE, AROUND = 2000, 600
@@ -292,16 +294,11 @@ def line_of(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
-def tokens(value: str) -> list[str]:
-    """Tokens of a value that are no plain name or number, the longest first."""
-    return sorted({t for t in TOKEN.findall(value) if not PLAIN.fullmatch(t)}, key=lambda t: (-len(t), t))
-
-
-INDEX = "seq bigint, chunk_idx int, repo string, line_no int, value string, token string, line string, strong int"
+INDEX = "seq bigint, chunk_idx int, repo string, line_no int, value string, strong int"
 
 
 def index(chunks: DataFrame) -> DataFrame:
-    """The index of literals: found ones with ``value``, other mixed tokens with ``line`` and no ``value``."""
+    """The index of literals, a row for each value and line; private keys have an empty value."""
 
     def make():
         def scan(seqs, idxs, repos, paths, texts):
@@ -309,25 +306,12 @@ def index(chunks: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 dot = (path or "").rfind(".")
-                covered: list[tuple[int, int]] = []
                 seen = set()
-                for begin, end, value, whole in literals(text, path[dot:] if path and dot >= 0 else ""):
+                for begin, _, value, _ in literals(text, path[dot:] if path and dot >= 0 else ""):
                     row = line_of(text, begin), value
-                    if any(a <= begin < b for a, b in covered) and row in seen:
-                        continue
-                    covered.append((begin, end))
                     if row not in seen:
                         seen.add(row)
-                        token = next(iter(tokens(value)), None) if whole and value else None
-                        yield seq, idx, repo, row[0], value, token, None, strength(value) if value else 3
-                for m in TOKEN.finditer(text):
-                    t = m.group()
-                    if PLAIN.fullmatch(t) or UUID.fullmatch(t) or any(a <= m.start() < b for a, b in covered):
-                        continue
-                    a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-                    b = len(text) if b < 0 else b
-                    if b - a <= LONGEST_LINE and not re.fullmatch(r"[A-Za-z0-9+/=]{60,}", text[a:b]):
-                        yield seq, idx, repo, line_of(text, a), None, t, text[a:b], 0
+                        yield seq, idx, repo, row[0], value, strength(value) if value else 3
 
         return scan
 
@@ -336,39 +320,139 @@ def index(chunks: DataFrame) -> DataFrame:
 
 
 def confirmed(found: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """The values of the index that are credentials: ``(value, token)``.
+    """The values of the index that are credentials: ``(value)``.
 
     A value of weak structure with ``owners`` or more owners is a placeholder. Owners are counted
     over all rows, distinct by value and owner before they meet, so that a value that a third of
     all rows hold is counted in parts.
     """
     held = found.where("value is not null and value <> ''")
-    per = held.groupBy("value", F.coalesce("repo", F.lit("")).alias("repo")).agg(F.max("strong").alias("strong"), F.max("token").alias("token"))
-    return per.groupBy("value").agg(F.count("*").alias("owners"), F.max("strong").alias("strong"), F.max("token").alias("token")).where((F.col("strong") >= 2) | (F.col("owners") < owners)).select("value", "token")
+    per = held.groupBy("value", F.coalesce("repo", F.lit("")).alias("repo")).agg(F.max("strong").alias("strong"))
+    return per.groupBy("value").agg(F.count("*").alias("owners"), F.max("strong").alias("strong")).where((F.col("strong") >= 2) | (F.col("owners") < owners)).select("value")
+
+
+def grams(value: str) -> dict[int, int]:
+    """The grams of a value, ``GRAM`` bytes as a number, with how plain they look: the less, the more kinds and changes of characters."""
+    raw, out = value.encode(), {}
+    kinds = ["a" if 97 <= c < 123 else "A" if 65 <= c < 91 else "0" if 48 <= c < 58 else "-" for c in raw]
+    for k in range(len(raw) - GRAM + 1):
+        part = kinds[k : k + GRAM]
+        out[int.from_bytes(raw[k : k + GRAM], "little")] = -4 * len(set(part)) - sum(a != b for a, b in zip(part, part[1:]))
+    return out
+
+
+def anchored(values: DataFrame) -> DataFrame:
+    """``(value, gram)``: by value the gram that the fewest values share, of those the least plain.
+
+    Null for one that isn't looked for elsewhere: one shorter than a gram, and a short word, name
+    or number, which only its place made a credential.
+    """
+
+    def make():
+        def each(values):
+            for v in values:
+                held = grams(v) if len(v) >= GRAM and (mixed(v) or strength(v) >= 2) else {}
+                yield from ((v, g, plain) for g, plain in held.items()) if held else ((v, None, 0),)
+
+        return each
+
+    held = map_batches(values, make, "value string, gram bigint, plain int")
+    shared = held.where("gram is not null").groupBy("gram").agg(F.count("*").alias("n"))
+    return held.join(shared, "gram", "left").groupBy("value").agg(F.min(F.struct("n", "plain", "gram")).alias("r")).select("value", F.col("r.gram").alias("gram"))
+
+
+def _bits(held, k: int):
+    """The places of grams in the filter by its ``k``-th hash."""
+    return (held * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)[k])) >> np.uint64(64 - FILTER_BITS)
+
+
+def _held(words, held, k: int):
+    """Which grams the filter holds by its ``k``-th hash."""
+    at = _bits(held, k)
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def rescan(found: DataFrame, values: DataFrame) -> DataFrame:
-    """Further places ``(seq, chunk_idx, line_no, value)`` of confirmed values, by automata."""
-    lines = found.where("value is null").select("seq", "chunk_idx", "line_no", "token", "line")
-    routed = lines.join(values.where("token is not null"), "token").select("seq", "chunk_idx", "line_no", "line", "value")
+def gram_filter(anchors: DataFrame):
+    """A Bloom filter of the grams, as words of 64 bits; its size doesn't grow with them."""
+    def make():
+        def each(grams):
+            held, out = np.array(grams, np.uint64), {}
+            for k in range(3):
+                for at in _bits(held, k).tolist():
+                    out[at >> 6] = out.get(at >> 6, 0) | 1 << (at & 63)
+            for word, bits in out.items():
+                yield word, bits - (1 << 64) if bits >> 63 else bits
+
+        return each
+
+    rows = map_batches(anchors.where("gram is not null").select("gram"), make, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def in_filter(words, raws: list[bytes]) -> dict[int, set[int]]:
+    """The grams of texts that the filter holds, by the number of the text; some that stand over two texts may be among them."""
+    buffer, out = b"".join(raws) + b"\0\0", {}
+    ends = np.cumsum([len(r) for r in raws])
+    for a in range(0, len(buffer) - 7, BLOCK):
+        n = min(BLOCK, len(buffer) - 7 - a)
+        held = np.ndarray((n,), "<u8", buffer, a, (1,)) & np.uint64((1 << 8 * GRAM) - 1)
+        at = np.flatnonzero(_held(words, held, 0))
+        for k in (1, 2):
+            at = at[_held(words, held[at], k)]
+        for text, gram in zip(np.searchsorted(ends, at + a, "right").tolist(), held[at].tolist()):
+            out.setdefault(text, set()).add(gram)
+    return out
+
+
+def rescan(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """All places ``(seq, chunk_idx, line_no, value)`` of confirmed values in whole texts.
+
+    A text whose grams meet the filter goes to the values of these grams by a join; an automaton
+    of the values routed there reads it from end to end.
+    """
+    from ..session import stage
+
+    shared = chunks.sparkSession.sparkContext.broadcast(gram_filter(anchors))
+
+    def make_candidates():
+        def scan(seqs, idxs, texts):
+            first, raws, size = 0, [], 0
+            for k, text in enumerate(texts):
+                raws.append(text.encode())
+                size += len(raws[-1])
+                if size >= BLOCK or k + 1 == len(texts):
+                    for at, held in in_filter(shared.value, raws).items():
+                        yield seqs[first + at], idxs[first + at], sorted(held), texts[first + at]
+                    first, raws, size = k + 1, [], 0
+
+        return scan
+
+    rows = chunks.select("seq", "chunk_idx", F.coalesce("code", "content").alias("text")).where("text is not null and seq is not null and chunk_idx is not null")
+    texts = stage(map_batches(rows, make_candidates, "seq bigint, chunk_idx int, grams array<bigint>, text string"), "candidates")
+    routed = texts.select("seq", "chunk_idx", F.explode("grams").alias("gram")).join(anchors.where("gram is not null"), "gram").groupBy("seq", "chunk_idx").agg(F.collect_set("value").alias("values"))
 
     def make():
         import ahocorasick
 
-        def scan(seqs, idxs, numbers, lines, values):
+        def scan(seqs, idxs, texts, values):
             automaton = ahocorasick.Automaton()
-            for v in set(values):
+            for v in {v for vs in values for v in vs}:
                 automaton.add_word(v, v)
             automaton.make_automaton()
-            for seq, idx, number, line in set(zip(seqs, idxs, numbers, lines)):
-                for end, value in automaton.iter(line):
-                    before, after = line[: end - len(value) + 1][-1:], line[end + 1 : end + 2]
+            for seq, idx, text in zip(seqs, idxs, texts):
+                lines = None
+                for end, value in automaton.iter(text):
+                    at = end - len(value) + 1
+                    before, after = text[max(0, at - 1) : at], text[end + 1 : end + 2]
                     if not (before.isalnum() and value[0].isalnum()) and not (after.isalnum() and value[-1].isalnum()):
-                        yield seq, idx, number, value
+                        lines = lines or [m.start() for m in re.finditer("\n|\\Z", text)]
+                        yield seq, idx, bisect.bisect_left(lines, at) + 1, value
 
         return scan
 
-    return map_batches(routed, make, "seq bigint, chunk_idx int, line_no int, value string")
+    return map_batches(texts.select("seq", "chunk_idx", "text").join(routed, ["seq", "chunk_idx"]), make, "seq bigint, chunk_idx int, line_no int, value string")
 
 
 def find(chunks: DataFrame, owners: int = OWNERS) -> DataFrame:
@@ -381,11 +465,11 @@ def find(chunks: DataFrame, owners: int = OWNERS) -> DataFrame:
     from ..session import stage
 
     found = stage(index(chunks), "literals")
-    values = confirmed(found, owners)
+    values = stage(anchored(confirmed(found, owners)), "values")
     by_place = found.where("value <> ''").select("seq", "chunk_idx", "line_no", "value").join(values.select("value"), "value", "left_semi")
     keys = found.where("value = ''").select("seq", "chunk_idx", "line_no", "value")
     columns = ["seq", "chunk_idx", "line_no", "value"]
-    return by_place.select(columns).unionByName(keys).unionByName(rescan(found, values)).distinct()
+    return by_place.select(columns).unionByName(keys).unionByName(rescan(chunks, values)).distinct()
 
 
 def redact_text(text: str, values: list[str], suffix: str = "") -> str:
