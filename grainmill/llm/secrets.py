@@ -104,6 +104,7 @@ PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"(?:[\s\"'`+\\>#*/|]|\\[nr])*[A-Za-z0-9+/]{16,}")
 END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|>|<!--|;)[^\S\n]?(?P<said>.*)$|(?<=[\s;{}])(?:#|//)\s(?P<after>[^\"'\n]*)$", re.M)
+RUN = re.compile(r"\S*")
 SAYS = re.compile(
     r"(?i)\b(?:key|token|secret|pw|pwd|pass|password|passwd|passphrase|passwort|kennwort|credentials?|creds?|login|log in)\b|\buse\s+\S+\s+(?:on|for|in|at)\b"
 )
@@ -123,6 +124,8 @@ GRAM, FILTER_BITS, BLOCK = 6, 26, 1 << 20
 
 #: Characters from which on a line is looked at in stretches around its triggers, and their reach.
 LONGEST_LINE, AROUND = 2000, 600
+#: Characters of the longest value.
+LONGEST_VALUE = 4000
 
 BARE_SUFFIXES = (".env", ".yaml", ".yml", ".ini", ".cfg", ".conf", ".toml", ".properties", ".txt", ".md", ".sh")
 
@@ -156,7 +159,7 @@ def named(value: str) -> bool:
 def is_value(value: str) -> bool:
     """Can a literal in the place of a credential be one?"""
     return (
-        6 <= len(value) <= 4000
+        6 <= len(value) <= LONGEST_VALUE
         and not re.search(r"\s", value)
         and not PLACEHOLDER.fullmatch(value)
         and not REFERENCE.search(value)
@@ -186,10 +189,11 @@ def basic(value: str) -> bool:
     return bool(colon and who and len(word) >= 4 and not PLACEHOLDER.fullmatch(word) and not REFERENCE.search(word))
 
 
-def regions(text: str) -> Iterator[tuple[int, int, int]]:
-    """``(begin, end, reach)`` of every line with a trigger; ``reach`` takes in two lines more, for values that follow or go on there.
+def regions(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """``(begin, end, line, reach)`` of every line with a trigger; ``line`` is where it ends, ``reach`` takes in two lines more, for values that follow or go on there.
 
-    Of a very long line come the stretches around its triggers.
+    Of a very long line come the stretches around its triggers. What begins before ``end`` is
+    read to its end: a value of any length that one can have lies within ``line`` or ``reach``.
     """
     low = text.lower()
     if len(low) != len(text):  # some letters grow when made small
@@ -210,12 +214,12 @@ def regions(text: str) -> Iterator[tuple[int, int, int]]:
         for m in TRIGGER.finditer(low, begin, end):
             if m.start() >= last:
                 last = min(end, m.end() + AROUND)
-                yield max(begin, m.start() - AROUND), last, min(end, last + AROUND)
+                yield max(begin, m.start() - AROUND), last, min(end, last + AROUND + LONGEST_VALUE), min(end, last + AROUND + LONGEST_VALUE)
     for begin in sorted(lines):
         reach = end = text.find("\n", begin) + 1 or len(text) + 1
         for _ in range(2):
             reach = text.find("\n", reach) + 1 or len(text) + 1
-        yield begin, end - 1, min(reach - 1, end + LONGEST_LINE)
+        yield begin, end - 1, end - 1, min(reach - 1, end + LONGEST_LINE + LONGEST_VALUE)
 
 
 def literals(text: str, suffix: str = "") -> Iterator[tuple[int, int, str, bool]]:
@@ -229,15 +233,15 @@ def literals(text: str, suffix: str = "") -> Iterator[tuple[int, int, str, bool]
             if BODY.match(text, m.end()):
                 end = END.search(text, m.end())
                 yield m.start(), end.end() if end else m.end(), "", True
-    for begin, end, reach in regions(text):
+    for begin, end, line, reach in regions(text):
         part = text[begin:reach]
-        for a, b, value, whole in _in_line(part, end - begin, suffix):
+        for a, b, value, whole in _in_line(part, end - begin, line - begin, suffix):
             yield begin + a, begin + b, value, whole
 
 
-def _in_line(text: str, end: int, suffix: str) -> Iterator[tuple[int, int, str, bool]]:
-    """Literals that begin before ``end``, which is where the first line of ``text`` ends."""
-    line = text[:end]
+def _in_line(text: str, end: int, stop: int, suffix: str) -> Iterator[tuple[int, int, str, bool]]:
+    """Literals that begin before ``end``; the first line of ``text`` ends at ``stop``."""
+    line = text[:stop]
     for m in ASSIGN.finditer(text):
         if m.start() > end:
             break
@@ -258,19 +262,25 @@ def _in_line(text: str, end: int, suffix: str) -> Iterator[tuple[int, int, str,
                 yield m.start("lit") + 1, m.end("lit") - 1, value, len(PIECE.findall(m["lit"])) == 1
     for pattern in (URL, FLAG, USER, SQL):
         for m in pattern.finditer(line):
+            if m.start() > end:
+                break
             value = m["val"]
             if len(value) >= 4 and not PLACEHOLDER.fullmatch(value) and not REFERENCE.search(value) and (pattern is URL or mixed(value)):
                 yield m.start("val"), m.end("val"), value, True
     for m in HEAD.finditer(line):
+        if m.start() > end:
+            break
         value = m["val"].rstrip(".")
         if basic(value) if m["how"].lower() == "basic" else is_value(value):
             yield m.start("val"), m.start("val") + len(value), value, True
     for m in _ISSUED.finditer(line):
+        if m.start() > end:
+            break
         if not PLACEHOLDER.fullmatch(m.group()):
             yield m.start(), m.end(), m.group(), True
-    for m in COMMENT.finditer(line):
+    for m in COMMENT.finditer(line[: RUN.match(line, end).end()]):
         part = "said" if m["said"] is not None else "after"
-        if len(m[part]) < LONGEST_LINE and SAYS.search(m[part]):
+        if SAYS.search(m[part]):
             for t in re.finditer(r"[^\s=:\"'`,;()<>]+(?:[=:][^\s=:\"'`,;()<>]+)*={0,2}", m[part]):
                 value, at = t.group().rstrip("."), t.start()
                 cut = re.match(r"(?:\w+[=:])+(?=.{6})", value)

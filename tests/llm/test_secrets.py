@@ -92,3 +92,12 @@ def test_filter():
     texts = ["x" * (S.BLOCK - n) + v for v in values for n in range(20)] + [values[0], "", values[1], "none"]
     got = S.in_filter(words, [t.encode() for t in texts])
     assert [n for n, t in enumerate(texts) if any(v in t for v in values)] == [n for n in sorted(got) if any({max(S.grams(v))} & got[n] for v in values)]
+
+
+def test_long_lines():
+    """Literals on a very long line, or on a long one after their name, are read to their end."""
+    long, fill = "aB3" * 1200, "var q=1;" * 400
+    jwt = f"eyJhbGciOiJI.eyJzdWIiOiIx.{long}"
+    for text, value in ((f'{fill}apiKey="{long}";{fill}', long), (f'secret =\n  "{long}"', long), (f'{fill}h("Bearer {jwt}");{fill}', jwt), (f'{fill}x="{jwt}";{fill}', jwt), (f'{fill}u="mysql://svc:{long}@db.invalid/x";{fill}', long)):
+        assert {v for *_, v, _ in S.literals(text, ".js")} == {value}
+    assert {v for *_, v, _ in S.literals("# token " + "it is " * 90 + long + " so" * 900, ".py")} == {long}
