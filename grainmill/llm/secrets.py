@@ -81,6 +81,7 @@ STANDING = re.compile(rf"(?:{ISSUED}|{_CODE}|{_WORDS}|{_WORDED}|[0-9a-f]{{32,64}
 _STR = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _PIECES = rf"(?:{_STR})(?:\s*(?:\+|\.|\\\n)?\s*(?:{_STR}))*"
 PIECE = re.compile(_STR)
+MORE = re.compile(rf"\s*(?:(?:\+|\.|\\\n)\s*)?(?:{_STR})")
 
 #: A name, an assignment and a literal, perhaps in pieces; or a bare value.
 ASSIGN = re.compile(
@@ -103,6 +104,9 @@ SQL = re.compile(r"(?i)\b(?:identified\s+(?:\w+\s+\w+\s+)?by|(?:with\s+)?(?:encr
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"(?:[\s\"'`+\\>#*/|]|\\[nr])*[A-Za-z0-9+/]{16,}")
 END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: A line of a key, with what stands before it, and one that a cut leaves short.
+KEY_LINE = re.compile(r"(?:\\[nr]|[\s\"'`\\>#*|,;+.]|/(?=[/*\s]))*(?=[A-Za-z]*[A-Z0-9+/])[A-Za-z0-9+/]{16,}={0,2}(?![\w(.=:\[-])")
+KEY_REST = re.compile(r"(?:\\[nr]|[\s\"'`\\>#*|,;+.]|/(?=[/*\s]))*(?:[A-Za-z0-9+/]{1,15}={1,2}(?![\w=])|[A-Za-z0-9+/]{1,15}(?=\\[nr]|\s*[\"'`]|\s*\Z))")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|>|<!--|;)[^\S\n]?(?P<said>.*)$|(?<=[\s;{}])(?:#|//)\s(?P<after>[^\"'\n]*)$", re.M)
 RUN = re.compile(r"\S*")
 SAYS = re.compile(
@@ -222,8 +226,27 @@ def regions(text: str) -> Iterator[tuple[int, int, int, int]]:
         yield begin, end - 1, end - 1, min(reach - 1, end + LONGEST_LINE + LONGEST_VALUE)
 
 
+def key_end(text: str, at: int) -> int:
+    """The end of a private key whose BEGIN line ends at ``at``: its END, or where there is none before the next BEGIN the end of its lines."""
+    end, other = END.search(text, at), PRIVATE.search(text, at)
+    if end and not (other and other.start() < end.start()):
+        return end.end()
+    while m := KEY_LINE.match(text, at):
+        at = m.end()
+    rest = KEY_REST.match(text, at)
+    return rest.end() if rest else at
+
+
+def pieces(m: re.Match, text: str, begin: int) -> str:
+    """The literal of a match in ``text[begin:]``, with the pieces that follow it however far they go."""
+    at = begin + m.end("lit")
+    while more := MORE.match(text, at):
+        at = more.end()
+    return text[begin + m.start("lit") : at]
+
+
 def literals(text: str, suffix: str = "") -> Iterator[tuple[int, int, str, bool]]:
-    """``(begin, end, value, whole)`` of every credential-like literal of a text.
+    """``(begin, end, value, whole)`` of every credential-like literal of a text, pieces over any number of lines together.
 
     ``whole`` is false where the value stands in pieces. The same value may come twice. A private
     key has an empty value.
@@ -231,26 +254,26 @@ def literals(text: str, suffix: str = "") -> Iterator[tuple[int, int, str, bool]
     if "PRIVATE KEY" in text:
         for m in PRIVATE.finditer(text):
             if BODY.match(text, m.end()):
-                end = END.search(text, m.end())
-                yield m.start(), end.end() if end else m.end(), "", True
+                yield m.start(), key_end(text, m.end()), "", True
     for begin, end, line, reach in regions(text):
-        part = text[begin:reach]
-        for a, b, value, whole in _in_line(part, end - begin, line - begin, suffix):
+        for a, b, value, whole in _in_line(text, begin, reach, end - begin, line - begin, suffix):
             yield begin + a, begin + b, value, whole
 
 
-def _in_line(text: str, end: int, stop: int, suffix: str) -> Iterator[tuple[int, int, str, bool]]:
-    """Literals that begin before ``end``; the first line of ``text`` ends at ``stop``."""
+def _in_line(whole: str, begin: int, reach: int, end: int, stop: int, suffix: str) -> Iterator[tuple[int, int, str, bool]]:
+    """Literals of ``whole[begin:reach]`` that begin before ``end``; its first line ends at ``stop``."""
+    text = whole[begin:reach]
     line = text[:stop]
     for m in ASSIGN.finditer(text):
         if m.start() > end:
             break
         name, lit, bare = m["name"], m["lit"], m["bare"]
         if lit is not None:
+            lit = pieces(m, whole, begin)
             value = joined(lit)
             single = len(PIECE.findall(lit)) == 1
             if not HEAD.match(value) and (is_name(name) and is_value(value) or not single and _ISSUED.fullmatch(value)):
-                yield m.start("lit") + 1, m.end("lit") - 1, value, single
+                yield m.start("lit") + 1, m.start("lit") + len(lit) - 1, value, single
         elif suffix in BARE_SUFFIXES and is_name(name) and is_value(bare):
             yield m.start("bare"), m.end("bare"), bare, True
     for pattern in (PAIR, CALL):
@@ -258,8 +281,8 @@ def _in_line(text: str, end: int, stop: int, suffix: str) -> Iterator[tuple[int,
             if m.start() > end:
                 break
             named = is_name(m["name"] if pattern is PAIR else m["who"][1:-1])
-            if named == (pattern is PAIR) and is_value(value := joined(m["lit"])):
-                yield m.start("lit") + 1, m.end("lit") - 1, value, len(PIECE.findall(m["lit"])) == 1
+            if named == (pattern is PAIR) and is_value(value := joined(lit := pieces(m, whole, begin))):
+                yield m.start("lit") + 1, m.start("lit") + len(lit) - 1, value, len(PIECE.findall(lit)) == 1
     for pattern in (URL, FLAG, USER, SQL):
         for m in pattern.finditer(line):
             if m.start() > end:
@@ -494,7 +517,8 @@ def redact_text(text: str, values: list[str], suffix: str = "") -> str:
         elif not value and "" in wanted:
             head = text.index("-----", begin + 5) + 5
             tail = text.rfind("-----END", head, end)
-            spans += [(head + m.start(), head + m.end()) for m in re.finditer(r"(?<!\\)[A-Za-z0-9+/=]{4,}|(?<=\\[nr])[A-Za-z0-9+/=]{4,}", text[head : tail if tail > 0 else end])]
+            least = r"[A-Za-z0-9+/=]{4,}" if tail > 0 else r"[A-Za-z0-9][A-Za-z0-9+/=]*"
+            spans += [(head + m.start(), head + m.end()) for m in re.finditer(rf"(?<!\\){least}|(?<=\\[nr]){least}", text[head : tail if tail > 0 else end])]
     for value in sorted(wanted - {""}, key=len, reverse=True):
         at = text.find(value)
         while at >= 0:
@@ -504,7 +528,7 @@ def redact_text(text: str, values: list[str], suffix: str = "") -> str:
     for a, b in sorted(set(spans)):
         if a >= last:
             out += [text[last:a], REDACTED]
-            last = b
+        last = max(last, b)
     return "".join([*out, text[last:]])
 
 

@@ -101,3 +101,22 @@ def test_long_lines():
     for text, value in ((f'{fill}apiKey="{long}";{fill}', long), (f'secret =\n  "{long}"', long), (f'{fill}h("Bearer {jwt}");{fill}', jwt), (f'{fill}x="{jwt}";{fill}', jwt), (f'{fill}u="mysql://svc:{long}@db.invalid/x";{fill}', long)):
         assert {v for *_, v, _ in S.literals(text, ".js")} == {value}
     assert {v for *_, v, _ in S.literals("# token " + "it is " * 90 + long + " so" * 900, ".py")} == {long}
+
+
+def test_pieces_over_many_lines_and_keys_without_end():
+    parts = ["E0J1uSWgJNgG", "mIKJcHByiNOD", "zIGERv29aptO", "LrIbZtWRFsKm", "P2AEYpQnrh0F"]
+    text = "token = (\n" + "\n".join(f'    "{x}"' for x in parts) + "\n)\nx = 1\n"
+    values = [v for *_, v, _ in S.literals(text, ".py")]
+    assert values == ["".join(parts)]
+    assert S.redact_text(text, values, ".py") == "token = (\n" + '    "REDACTED"\n' * 5 + ")\nx = 1\n"
+    begin, *body, end = KEY.split("\n")
+    cut = "\n".join([begin, *body, body[0][:7]])
+    assert S.redact_text(cut, [""]) == f"{begin}\nREDACTED\nREDACTED\nREDACTED"
+    code = "'\nreturn something(other)\nother_name = 12\n"
+    got = S.redact_text(f"k = '{cut}{code}q = '{KEY}'", [""])
+    assert got == f"k = '{begin}\nREDACTED\nREDACTED\nREDACTED{code}q = '{begin}\nREDACTED\nREDACTED\n{end}'"
+    plain = "\n".join([begin, *body, "", "return something(other)", ""])
+    assert S.redact_text(plain, [""]) == f"{begin}\nREDACTED\nREDACTED\n\nreturn something(other)\n"
+    escaped = (begin + "\\n" + body[0] + "\\n" + body[1][:9] + '", "other": "words"')
+    assert S.redact_text(escaped, [""]) == begin + '\\nREDACTED\\nREDACTED", "other": "words"'
+    assert S.redact_text("a ghX1ghX1 b", ["ghX1gh", "ghX1ghX1"]) == "a REDACTED b"
