@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -106,10 +107,15 @@ def unescape(text: str) -> str:
     return ESCAPE.sub(one, text) if "\\" in text or "&#" in text else text
 
 
-def units(text: str, how: str) -> Iterator[str]:
-    """Comments and literals of a source text, without their marks."""
-    for m in LEX[how].finditer(text):
-        t = m.group()
+def units(text: str, how: str, around: list[str] | None = None) -> Iterator[str]:
+    """Comments and literals of a source text, without their marks; ``around`` gets the source around them."""
+    last = 0
+    for m in chain(LEX[how].finditer(text), (None,)):
+        if around is not None:
+            around.append(text[last : m.start() if m else len(text)])
+        if not m:
+            return
+        last, t = m.end(), m.group()
         if len(t) < SIGNS or t.isascii() and len(t.split(None, WORDS - 1)) < WORDS and "\\" not in t and "&#" not in t:
             continue
         if m.lastgroup == "c":
@@ -222,11 +228,14 @@ def broken(name: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
 
 
-def extracted(chunks: DataFrame) -> DataFrame:
-    """``(seq, text, code)``: sentences, and for the code class words of identifiers (one row for each chunk)."""
+def extracted(chunks: DataFrame, path: str) -> DataFrame:
+    """``(seq, text, token, n)``: sentences, and for the code class the counts of subwords of all identifiers, summed within each batch."""
 
     def make():
+        of = subwords(path)
+
         def each(seqs, paths, kinds, texts, docs, comments):
+            words: Counter = Counter()
             for seq, path, kind, text, doc, said in zip(seqs, paths, kinds, texts, docs, comments):
                 suffix = path[path.rfind(".") :]
                 got = set()
@@ -245,22 +254,24 @@ def extracted(chunks: DataFrame) -> DataFrame:
                     got.update(sentences(doc))
                 if text:
                     how = "py" if suffix == ".py" else "css" if kind in ("css_rule", "html_style", "css") else "c"
-                    for u in units(text, how):
+                    around: list[str] | None = [] if kind not in ("css_rule", "html_style") else None
+                    for u in units(text, how, around):
                         got.update(sentences(u))
-                    if kind not in ("css_rule", "html_style"):
-                        yield seq, " ".join(broken(LEX[how].sub(" ", text[:CODE_CHARS]))), True
+                    words.update(broken(" ".join(around or ())))
                 for s in got:
-                    yield seq, s, False
+                    yield seq, s, None, None
+            total: Counter = Counter()
+            for w, n in words.items():
+                for t in of(w):
+                    total[t] += n
+            for t, n in total.items():
+                yield None, None, t, n
 
         return each
 
     suffix = F.regexp_extract("path", r"(\.[^./\\]+)$", 1)
     rows = chunks.where(F.col("seq").isNotNull() & suffix.isin(*SUFFIXES)).select("seq", "path", "type", F.coalesce("code", "content").alias("text"), "docstring", "comments")
-    return map_batches(rows, make, "seq bigint, text string, code boolean")
-
-
-#: Characters at the head of a chunk that are the sample of the code class.
-CODE_CHARS = 240
+    return map_batches(rows, make, "seq bigint, text string, token int, n bigint")
 
 
 def counts(found: DataFrame, path: str) -> DataFrame:
@@ -272,10 +283,8 @@ def counts(found: DataFrame, path: str) -> DataFrame:
         of, total = subwords(path), Counter()
         for batch in batches:
             words: dict[str, Counter] = {}
-            for text, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if code:
-                    words.setdefault(CODE, Counter()).update(text.split())
-                elif script(text) is None and mostly_words(text):
+            for text in batch.column(0).to_pylist():
+                if script(text) is None and mostly_words(text):
                     ws = [plain(w) for w in WORD.findall(text)]
                     lang = seeded(ws)
                     if lang:
@@ -288,7 +297,9 @@ def counts(found: DataFrame, path: str) -> DataFrame:
             keys = list(total)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["class", "token", "n"])
 
-    return shipped(found).select("text", "code").mapInArrow(run, "class string, token int, n bigint").groupBy("class", "token").agg(F.sum("n").alias("n"))
+    said = shipped(found).where("text is not null").select("text").mapInArrow(run, "class string, token int, n bigint")
+    code = found.where("token is not null").select(F.lit(CODE).alias("class"), "token", "n")
+    return said.unionByName(code).groupBy("class", "token").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -333,7 +344,7 @@ def classified(chunks: DataFrame, path: str | None = None) -> DataFrame:
     long texts are read whole; other columns are not read.
     """
     path = path or vocabulary("byte_bpe_multi_50k.tiktoken")
-    found = stage(extracted(chunks), "sentences")
+    found = stage(extracted(chunks, path), "sentences")
     # at most the vocabulary times the classes
     rows = [tuple(r) for r in counts(found, path).collect()]
     shared = found.sparkSession.sparkContext.broadcast(rows)
@@ -349,7 +360,7 @@ def classified(chunks: DataFrame, path: str | None = None) -> DataFrame:
 
         return each
 
-    return map_batches(found.where("not code").select("seq", "text"), make, "seq bigint, lang string, text string")
+    return map_batches(found.where("text is not null").select("seq", "text"), make, "seq bigint, lang string, text string")
 
 
 _held: dict = {}

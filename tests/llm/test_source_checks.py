@@ -120,3 +120,14 @@ def test_not_handwritten(spark):
     assert set(got) == {0, 1, 2, 12, 14, 16, 17, 18, 20, 30, 31, 33, 35}
     assert got[0] == ["vendored"] and got[16] == ["minified"] and got[17] == ["data"] and got[31] == ["generated", "skipped by path"]
     assert G.not_handwritten(files.limit(0), df.limit(0), skipped.limit(0)).count() == 0
+
+
+def test_code_counts_cover_whole_texts(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "v.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(bytes([n])).decode()} {n}\n" for n in range(256)))
+    text = "a = 1\n" * 35 + "t = 'word " + "x" * 60 + " word'\nzzz(zz)\n"
+    cols = "seq long, path string, type string, code string, content string, docstring string, comments array<struct<type:string,line:int,text:string>>"
+    rows = N.counts(N.extracted(spark.createDataFrame([(1, "a.py", "file", text, None, None, None)], cols), str(path)), str(path)).collect()
+    assert {chr(r["token"]): r["n"] for r in rows if r["class"] == N.CODE} == {" ": 38, "a": 35, "t": 1, "z": 5}
