@@ -7,15 +7,18 @@ keeps, by key, the committed row of the highest offset; what the present listing
 is pending.
 
 ``ChangeRun`` processes what is pending with exactly-once results: the ranges of offsets of each
-partition are written ahead as a plan, the batch is written to a folder of its own, the commit
-is written last. A plan without a commit is replayed with the very same ranges; rows of a batch
-replace each other by key and offset, so a batch written twice counts once.
+partition are written ahead as a plan, the rows a batch takes in and its result are written to
+folders of their own, the commit is written last. A plan without a commit is replayed with the
+very same ranges, and the very same rows once they are written; rows of a batch replace each
+other by key and offset, so a batch written twice counts once. What no committed batch took in
+is still to be read, also if it came late, at or below an offset already reached.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,8 +90,8 @@ def partition_of(partitions: int = PARTITIONS):
 def change_log(files: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
     """The listing as a log of changes: ``(partition, offset, seq, repo, path, hash)``.
 
-    The offset is the time of listing in microseconds, which only grows; rows of one key and
-    offset are one change.
+    The offset is the time of listing in microseconds; rows that are alike are one change. Rows
+    without a time have no place in the log.
     """
     row = files.where("seq is not null and hash is not null and listed_at is not null").select(
         "seq", "repo", relative_path(F.col("path"), F.col("repo")).alias("path"), hash_key(F.col("hash")).alias("hash"), F.unix_micros(F.col("listed_at").cast("timestamp")).alias("offset")
@@ -154,6 +157,20 @@ class ChangeRun:
                     out[p] = max(end, out.get(p, end))
         return out
 
+    def written(self, number: int) -> bool:
+        """Are the rows that a batch takes in written whole?"""
+        return self.store._fs.exists(self.store._path(f"{self.store.folder}/input-{number}/_SUCCESS"))
+
+    def unread(self) -> DataFrame:
+        """The rows of the log that no committed batch took in, whatever their offset."""
+        log = self.log()
+        done = [n for n in self.store.batches() if self.store.read(f"commit-{n}.json")]
+        if not done:
+            return log
+        seen = self.spark.read.schema(log.schema).parquet(*[f"{self.store.folder}/input-{n}" for n in done]).alias("seen")
+        same = reduce(lambda a, b: a & b, (F.col(f"log.{c}").eqNullSafe(F.col(f"seen.{c}")) for c in log.columns))
+        return log.alias("log").join(seen, same, "left_anti")
+
     def plan(self) -> tuple[int, dict[str, list[int]]] | None:
         """The batch to run next: an uncommitted one as it was planned, or a new one, written ahead."""
         numbers = self.store.batches()
@@ -161,8 +178,8 @@ class ChangeRun:
             if not self.store.read(f"commit-{n}.json"):
                 return n, self.store.read(f"plan-{n}.json")["ranges"]
         ends = self.ends()
-        tops = {str(r["partition"]): r["top"] for r in self.log().groupBy("partition").agg(F.max("offset").alias("top")).collect()}
-        ranges = {p: [ends.get(p, -(1 << 62)), top] for p, top in tops.items() if top > ends.get(p, -(1 << 62))}
+        tops = {str(r["partition"]): r["top"] for r in self.unread().groupBy("partition").agg(F.max("offset").alias("top")).collect()}
+        ranges = {p: [ends.get(p, -(1 << 62)), max(top, ends.get(p, top))] for p, top in tops.items()}
         if not ranges:
             return None
         number = (numbers[-1] + 1) if numbers else 0
@@ -170,9 +187,9 @@ class ChangeRun:
         return number, ranges
 
     def rows(self, ranges: dict[str, list[int]]) -> DataFrame:
-        """The rows of the log within the ranges, after the first offset of each and up to its last."""
-        spans = self.spark.createDataFrame([(int(p), a, b) for p, (a, b) in ranges.items()], "partition int, after bigint, upto bigint")
-        return self.log().join(F.broadcast(spans), "partition").where("offset > after and offset <= upto").drop("after", "upto")
+        """The unread rows of the log up to the last offset of each range; those at or before its first came late."""
+        spans = self.spark.createDataFrame([(int(p), b) for p, (_, b) in ranges.items()], "partition int, upto bigint")
+        return self.unread().join(F.broadcast(spans), "partition").where("offset <= upto").drop("upto")
 
     def run(self, process: Callable[[DataFrame], DataFrame]) -> bool:
         """Run one batch; false if nothing is pending."""
@@ -180,7 +197,10 @@ class ChangeRun:
         if planned is None:
             return False
         number, ranges = planned
-        process(self.rows(ranges)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.store.folder}/batch={number}")
+        taken = f"{self.store.folder}/input-{number}"
+        if not self.written(number):
+            self.rows(ranges).write.mode("overwrite").parquet(taken)
+        process(self.spark.read.parquet(taken)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.store.folder}/batch={number}")
         self.store.write(f"commit-{number}.json", {"done": True})
         return True
 

@@ -87,6 +87,19 @@ def test_a_batch_written_but_not_committed_counts_once(spark, tmp_path):
     assert run.result().count() == 6
 
 
+def test_late_rows_are_processed(spark, tmp_path):
+    at = lambda n: datetime(2025, 1, 1, 0, 0, n)
+    held = {"rows": [(1, "r", "a", "h1", at(10), 0), (2, "r", "b", "h2", at(20), 0)]}
+    run = changes.ChangeRun(spark, str(tmp_path / "w"), lambda: changes.change_log(spark.createDataFrame(held["rows"], FILES), 1))
+    assert run.run(lambda df: df) and not run.run(lambda df: df)
+    held["rows"] += [(3, "r", "late", "h3", at(5), 0), (4, "r", "equal", "h4", at(20), 0), (5, None, "none", "h5", at(20), 0)]
+    assert run.run(lambda df: df) and not run.run(lambda df: df)
+    held["rows"] += [(6, "r", "new", "h6", at(30), 0), (1, "r", "a", "h0", at(9), 0)]
+    assert run.run(lambda df: df) and not run.run(lambda df: df)
+    assert {r["path"]: r["hash"] for r in run.result().collect()} == {"a": "h1", "b": "h2", "late": "h3", "equal": "h4", "none": "h5", "new": "h6"}
+    assert spark.read.parquet(*[str(p) for p in (tmp_path / "w").glob("batch=*")]).count() == 7
+
+
 def test_state(spark, tmp_path):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("gone", "3")], "path string, hash string")
     files = spark.createDataFrame([("a", "1"), ("b", "9"), ("c", "4"), ("d", None)], "path string, hash string")
