@@ -86,8 +86,7 @@ def signs(kind: str | None, text: str | None, comments: list[dict] | None, suffi
     if kind in ("function", "class"):
         return None
     if suffix in ("json", "yaml", "lock", "map"):
-        head = text[:400]
-        if re.search(r"\"?(?:lockfileVersion|lockVersion|lockfile_version)\"?\s*:", head) and text.count("integrity") + text.count("resolved") > 1:
+        if re.search(r"\"?(?:lockfileVersion|lockVersion|lockfile_version)\"?\s*:", text) and text.count("integrity") + text.count("resolved") > 1:
             return "lock"
         if "\"mappings\"" in text and "\"sources\"" in text and re.search(r"\"version\"\s*:\s*3", text):
             return "map"

@@ -131,3 +131,8 @@ def test_code_counts_cover_whole_texts(spark, tmp_path):
     cols = "seq long, path string, type string, code string, content string, docstring string, comments array<struct<type:string,line:int,text:string>>"
     rows = N.counts(N.extracted(spark.createDataFrame([(1, "a.py", "file", text, None, None, None)], cols), str(path)), str(path)).collect()
     assert {chr(r["token"]): r["n"] for r in rows if r["class"] == N.CODE} == {" ": 38, "a": 35, "t": 1, "z": 5}
+
+
+def test_lock_files_with_a_long_head():
+    text = '{"name": "x", "about": "' + "word " * 200 + '", "lockfileVersion": 3, "a": {"resolved": "u", "integrity": "v"}}'
+    assert G.signs("file", text, None, "json") == "lock"
