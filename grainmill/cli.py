@@ -7,7 +7,7 @@ import logging
 import os
 import sys
 
-from .config import RunConfig
+from .config import STATES, RunConfig, interpolated
 
 log = logging.getLogger("grainmill.cli")
 
@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--skip-dirs", action="append")
     p.add_argument("--verbose", action=argparse.BooleanOptionalAction, default=None)
     p.add_argument("--mode", choices=("compat", "strict"))
+    p.add_argument("--state", choices=STATES)
     return p
 
 
@@ -35,7 +36,7 @@ def options(argv: list[str] | None = None) -> dict:
         import yaml
 
         with open(path, encoding="utf-8") as f:
-            held = yaml.safe_load(f) or {}
+            held = interpolated(yaml.safe_load(f) or {})
     elif not args["repo_path"]:
         raise ValueError(f"no configuration file {path} and no --repo-path")
     held |= {k: v for k, v in args.items() if v is not None}

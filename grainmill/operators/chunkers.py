@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import ast
 import io
+import logging
 import tokenize
 import warnings
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from ..functions import text as X
 from ..functions.arrowmap import map_batches
 from ..functions.library import DOCUMENTATION, SUBDIRS
 
+log = logging.getLogger(__name__)
+
 CHUNK = (
     "struct<type:string,name:string,docstring:string,code:string,header:string,content:string,"
     "methods:array<struct<name:string>>,comments:array<struct<type:string,line:int,text:string>>>"
@@ -84,34 +89,64 @@ def whole(name: Column, text: Column) -> Column:
     return F.array(_chunk(type=F.lit("file"), name=name, content=text))
 
 
+class Segments:
+    """Source text of syntax nodes: the text is encoded and its lines are found once for all nodes."""
+
+    def __init__(self, source: str):
+        self.raw = source.encode()
+        ends = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10) + 1
+        self.begins = [0, *ends.tolist()]
+
+    def of(self, node: ast.AST) -> str:
+        begin, end = self.begins[node.lineno - 1] + node.col_offset, self.begins[node.end_lineno - 1] + node.end_col_offset
+        return self.raw[begin:end].decode()
+
+
+def parsed(source: str) -> ast.Module | None:
+    """The syntax tree of a module, null if there is none."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            return ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            log.info("a Python file has no syntax tree: %s", e)
+            return None
+
+
+def definitions(tree: ast.Module, kinds: tuple[type, ...]) -> Iterator[ast.AST]:
+    """Classes and functions of the given kinds, one level of the tree after the other."""
+    level: list[ast.AST] = [tree]
+    while level:
+        yield from (n for n in level if isinstance(n, (ast.ClassDef, *kinds)))
+        level = [child for n in level for child in ast.iter_child_nodes(n)]
+
+
+def comment_list(source: str) -> list[dict]:
+    """The comments of a module in order, without their marks; what the tokeniser stops at leaves none."""
+    try:
+        held = [t for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
+    except (tokenize.TokenError, SyntaxError) as e:
+        log.info("comments of a Python file can't be read: %s", e)
+        return []
+    return [{"type": "comment", "line": t.start[0], "text": t.string.lstrip("#").strip()} for t in held]
+
+
 def python_chunks(source: str, asyncs: bool = False) -> list[tuple]:
-    """Functions and classes of a module in the order of a walk by breadth, then its comments.
+    """Functions and classes of a module by depth in the tree, then its comments.
 
     What can't be parsed gives nothing; comments that can't be read leave the rest. ``asyncs``:
     coroutines count as functions too.
     """
-    kinds = (ast.FunctionDef, ast.AsyncFunctionDef) if asyncs else (ast.FunctionDef,)
-    out: list[tuple] = []
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(source)
-        for node in ast.walk(tree):
-            if isinstance(node, kinds):
-                out.append(("function", node.name, ast.get_docstring(node), ast.get_source_segment(source, node), None, None, None, None))
-            elif isinstance(node, ast.ClassDef):
-                methods = [{"name": n.name} for n in node.body if isinstance(n, kinds)]
-                out.append(("class", node.name, ast.get_docstring(node), ast.get_source_segment(source, node), None, None, methods, None))
-        comments = [
-            {"type": "comment", "line": t.start[0], "text": t.string.lstrip("#").strip()}
-            for t in tokenize.generate_tokens(io.StringIO(source).readline)
-            if t.type == tokenize.COMMENT
-        ]
-        if comments:
-            out.append(("comments", None, None, None, None, None, None, comments))
-    except Exception:  # a file that can't be read gives what was found before
-        pass
-    return out
+    tree = parsed(source)
+    if tree is None:
+        return []
+    functions = (ast.FunctionDef, ast.AsyncFunctionDef) if asyncs else (ast.FunctionDef,)
+    text, out = Segments(source), []
+    for node in definitions(tree, functions):
+        methods = [{"name": n.name} for n in node.body if isinstance(n, functions)] if isinstance(node, ast.ClassDef) else None
+        out.append(("function" if methods is None else "class", node.name, ast.get_docstring(node), text.of(node), None, None, methods, None))
+    said = comment_list(source)
+    return [*out, ("comments", *[None] * 6, said)] if said else out
 
 
 def python(files: DataFrame, mode: str = "compat") -> DataFrame:
@@ -130,6 +165,34 @@ def python(files: DataFrame, mode: str = "compat") -> DataFrame:
     return map_batches(files.select(*keep, "text"), make, schema)
 
 
+#: What makes the array of chunks of a file, by suffix: a function of ``(name, text, mode)`` as columns.
+Builder = Callable[[Column, Column, str], Column]
+BUILDERS: dict[str, Builder] = {
+    ".md": lambda name, text, mode: markdown(text),
+    ".markdown": lambda name, text, mode: markdown(text),
+    ".html": lambda name, text, mode: html(text, mode),
+    ".css": lambda name, text, mode: css(text, mode),
+}
+
+
+def register(suffix: str, build: Builder | None) -> None:
+    """Let ``build`` make the chunks of files with ``suffix``, or with null go back to what is built in.
+
+    ``build`` gives an array of structs with the fields of a chunk, some may be missing:
+    ``chunk_struct`` makes one. Python's chunker is a parser, not a column, and can be replaced too.
+    """
+    if not suffix.startswith("."):
+        raise ValueError("a suffix begins with a dot")
+    if build is None:
+        EXTRA.pop(suffix, None)
+    else:
+        EXTRA[suffix] = build
+
+
+EXTRA: dict[str, Builder] = {}
+chunk_struct = _chunk
+
+
 def chunked(files: DataFrame, mode: str = "compat", keep: list[str] | None = None) -> DataFrame:
     """``files`` with the array ``chunks`` and the number of ``lines``.
 
@@ -141,9 +204,12 @@ def chunked(files: DataFrame, mode: str = "compat", keep: list[str] | None = Non
     t, s = F.col("text"), F.col("suffix")
     lines = F.when(s == ".py", X.lines_split(t)).when(s.isin(".md", ".markdown"), X.lines_read(t)).otherwise(X.lines_counted(t))
     rows = rows.withColumn("lines", F.coalesce(lines, F.lit(0)))
-    of_python = python(rows.where(s == ".py").select(*keep, "lines", "text"), mode)
-    made = F.when(s.isin(".md", ".markdown"), markdown(t)).when(s == ".html", html(t, mode)).when(s == ".css", css(t, mode)).otherwise(whole(F.col("name"), t))
-    others = rows.where(s.isNull() | (s != ".py")).select(*keep, "lines", F.when(t.isNotNull(), made).otherwise(F.array().cast(f"array<{CHUNK}>")).alias("chunks"))
+    made = whole(F.col("name"), t)
+    for ending, build in (BUILDERS | EXTRA).items():
+        made = F.when(s == ending, build(F.col("name"), t, mode).cast(f"array<{CHUNK}>")).otherwise(made)
+    parser = F.lit(".py" not in EXTRA) & F.coalesce(s == ".py", F.lit(False))
+    of_python = python(rows.where(parser).select(*keep, "lines", "text"), mode)
+    others = rows.where(~parser).select(*keep, "lines", F.when(t.isNotNull(), made).otherwise(F.array().cast(f"array<{CHUNK}>")).alias("chunks"))
     return of_python.unionByName(others)
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..session import partitions, shipped, stage
 
 REMAINING = "remaining"
+#: Chunks of a block, and output files that are counted in one task.
+BLOCK_ROWS, COUNTED = 1 << 19, 1 << 16
 
 
 def _starts(words: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +85,9 @@ def next_fit(chunks: DataFrame, limit: int, order: list[str], words: str = "word
     import pyarrow as pa
 
     spark = shipped(chunks).sparkSession
-    narrow = chunks.select(*order, F.greatest(F.coalesce(F.col(words), F.lit(0)), F.lit(0)).cast("bigint").alias("words"))
-    ranged = narrow.repartitionByRange(blocks or partitions(spark), *order).sortWithinPartitions(*order)
+    narrow = stage(chunks.select(*order, F.greatest(F.coalesce(F.col(words), F.lit(0)), F.lit(0)).cast("bigint").alias("words")), "words")
+    blocks = blocks or max(partitions(spark), -(-narrow.count() // BLOCK_ROWS))  # the count reads no column
+    ranged = narrow.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
     held = stage(ranged.withColumn("block", F.spark_partition_id()), "blocks")
 
     def functions(t: pa.Table) -> pa.Table:
@@ -134,11 +137,24 @@ def next_fit(chunks: DataFrame, limit: int, order: list[str], words: str = "word
     return held.join(states, "block").groupBy("block").applyInArrow(number, f"{types}, bin bigint")
 
 
+def _named(per: DataFrame) -> DataFrame:
+    """Names for files of ``subdir`` and ``bin``, counted from 0 in each folder.
+
+    Bins are numbered without gaps, so files are counted in runs of ``COUNTED`` bins, and runs
+    are put one after the other by running totals: a folder that holds most files is spread.
+    """
+    rows = per.withColumn("run", F.floor(F.col("bin") / COUNTED))
+    totals = rows.groupBy("subdir", "run").agg(F.count("*").alias("n"))  # a row for each folder and COUNTED files
+    before = W.partitionBy("subdir").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("subdir", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("subdir", "run").orderBy("bin")) - 1).join(totals, ["subdir", "run"])
+    rows = rows.withColumn("file_idx", (F.col("before") + F.col("nth")).cast("int"))
+    return rows.select("bin", "subdir", "file_idx", F.concat_ws("/", "subdir", F.concat(F.lit("chunk_"), F.col("file_idx").cast("string"), F.lit(".txt"))).alias("rel_file"), "words", "chunks")
+
+
 def files_by_folder(bins: DataFrame) -> DataFrame:
     """Like ``files`` where every file holds chunks of one folder and lies in it: a bin with chunks of two is two files."""
-    per = bins.groupBy("subdir", "bin").agg(F.sum("words").alias("words"), F.count("*").alias("chunks"))
-    idx = (F.row_number().over(W.partitionBy("subdir").orderBy("bin")) - 1).cast("int")  # one row for each file
-    return per.withColumn("file_idx", idx).select("bin", "subdir", "file_idx", F.concat_ws("/", "subdir", F.concat(F.lit("chunk_"), F.col("file_idx").cast("string"), F.lit(".txt"))).alias("rel_file"), "words", "chunks")
+    return _named(bins.groupBy("subdir", "bin").agg(F.sum("words").alias("words"), F.count("*").alias("chunks")))
 
 
 def files(bins: DataFrame, order: list[str]) -> DataFrame:
@@ -148,7 +164,5 @@ def files(bins: DataFrame, order: list[str]) -> DataFrame:
     lies in ``remaining``. Files are counted from 0 in each folder.
     """
     per = bins.groupBy("bin").agg(F.min(F.struct(*order, "subdir")).alias("f"), F.sum("words").alias("words"), F.count("*").alias("chunks"))
-    # one row for each file
-    per = per.withColumn("subdir", F.coalesce(F.lead("f.subdir").over(W.orderBy("bin")), F.lit(REMAINING)))
-    idx = (F.row_number().over(W.partitionBy("subdir").orderBy("bin")) - 1).cast("int")
-    return per.withColumn("file_idx", idx).select("bin", "subdir", "file_idx", F.concat_ws("/", "subdir", F.concat(F.lit("chunk_"), F.col("file_idx").cast("string"), F.lit(".txt"))).alias("rel_file"), "words", "chunks")
+    closed_by = per.select((F.col("bin") - 1).alias("bin"), F.col("f.subdir").alias("next"))
+    return _named(per.join(closed_by, "bin", "left").withColumn("subdir", F.coalesce("next", F.lit(REMAINING))))

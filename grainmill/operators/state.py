@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +41,35 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def save(state: DataFrame, path: str) -> None:
     """State as a JSON mapping, one entry at a time, so that the driver never holds it whole."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("{")
+    from ..functions.library import write_whole
+
+    def parts():
+        yield "{"
         for n, r in enumerate(state.orderBy("path").toLocalIterator(prefetchPartitions=True)):
-            f.write(",\n    " if n else "\n    ")
-            f.write(f"{json.dumps(r['path'])}: {json.dumps(r['hash'])}")
-        f.write("\n}")
+            yield ",\n    " if n else "\n    "
+            yield f"{json.dumps(r['path'])}: {json.dumps(r['hash'])}"
+        yield "\n}"
+
+    write_whole(path, parts())
+
+
+class StateTable:
+    """State as Parquet: one folder for each run, of which the last that is whole holds. Nothing passes through the driver."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def versions(self) -> list[int]:
+        held = os.listdir(self.folder) if os.path.isdir(self.folder) else []
+        return sorted(int(n[4:]) for n in held if n.startswith("run=") and os.path.exists(os.path.join(self.folder, n, "_SUCCESS")))
+
+    def load(self) -> DataFrame:
+        held = self.versions()
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/run={held[-1]}") if held else self.spark.createDataFrame([], SCHEMA)
+
+    def save(self, state: DataFrame) -> None:
+        """The next version; the one before stays for readers, older ones go."""
+        held = self.versions()
+        state.select("path", "hash").write.mode("overwrite").parquet(f"{self.folder}/run={held[-1] + 1 if held else 0}")
+        for n in held[:-1]:
+            shutil.rmtree(f"{self.folder}/run={n}", ignore_errors=True)

@@ -49,55 +49,103 @@ def test_last_run_holds(spark):
     assert changes.pending(*tables(spark, [], hashes, processed, [(1, "ok")])).count() == 0
 
 
+LOG = "repo string, path string, hash string, at timestamp_ntz"
+
+
+def second(n):
+    return datetime(2025, 1, 1, 0, 0, n)
+
+
+def changes_of(spark, tmp_path, most=100):
+    log = changes.ChangeLog(spark, f"{tmp_path}/log", 2)
+    return log, changes.ChangeRun(spark, f"{tmp_path}/sink", log, changes.KEY, ["at", "hash"], most)
+
+
+def written(spark, tmp_path):
+    return spark.read.parquet(*[str(p) for p in (tmp_path / "sink").glob("batch-*")])
+
+
 class Lost(Exception):
     pass
 
 
-def test_batches_survive_failures(spark, tmp_path):
-    at = lambda n: datetime(2025, 1, 1, 0, 0, n)
-    rows = [(n, "r", f"p{n}", f"h{n}", at(n), 0) for n in range(20)]
-    held = {"rows": rows}
-    run = changes.ChangeRun(spark, str(tmp_path / "w"), lambda: changes.change_log(spark.createDataFrame(held["rows"], FILES), 4))
+def test_three_batches_and_three_failures(spark, tmp_path):
+    """Lost before the result, after it, and between result and commit; a late row and a tied one; each record exactly once."""
+    log, run = changes_of(spark, tmp_path)
+    first = [("r", f"p{n}", f"h{n}", second(20)) for n in range(8)]
+    assert log.append(spark.createDataFrame(first, LOG), "day 1") and not log.append(spark.createDataFrame(first, LOG), "day 1")
 
-    def lose(df):
+    def lose(rows):
         raise Lost
 
     with pytest.raises(Lost):
         run.run(lose)
-    held["rows"] = rows + [(3, "r", "p3", "h3b", at(40), 0), (50, "r", "p50", "h50", at(41), 0)]
-    planned = run.plan()
-    again = run.plan()
-    assert planned == again  # the plan is replayed as it was written
-    assert run.run(lambda df: df)
-    assert run.result().count() == 20 and run.result().where("path = 'p3'").first()["hash"] == "h3"
-    assert run.run(lambda df: df) and not run.run(lambda df: df)
-    got = {r["path"]: r["hash"] for r in run.result().collect()}
-    assert len(got) == 21 and got["p3"] == "h3b"
-    # each row was in exactly one batch
-    batches = spark.read.parquet(*[str(p) for p in (tmp_path / "w").glob("batch=*")])
-    assert batches.count() == 22 and batches.select("path", "offset").distinct().count() == 22
-
-
-def test_a_batch_written_but_not_committed_counts_once(spark, tmp_path):
-    rows = [(n, "r", f"p{n}", f"h{n}", T, 0) for n in range(6)]
-    run = changes.ChangeRun(spark, str(tmp_path / "w"), lambda: changes.change_log(spark.createDataFrame(rows, FILES), 2))
-    number, ranges = run.plan()
-    run.rows(ranges).withColumn("batch", F.lit(number)).write.parquet(f"{tmp_path}/w/batch={number}")
-    assert run.run(lambda df: df) and not run.run(lambda df: df)
-    assert run.result().count() == 6
-
-
-def test_late_rows_are_processed(spark, tmp_path):
-    at = lambda n: datetime(2025, 1, 1, 0, 0, n)
-    held = {"rows": [(1, "r", "a", "h1", at(10), 0), (2, "r", "b", "h2", at(20), 0)]}
-    run = changes.ChangeRun(spark, str(tmp_path / "w"), lambda: changes.change_log(spark.createDataFrame(held["rows"], FILES), 1))
-    assert run.run(lambda df: df) and not run.run(lambda df: df)
-    held["rows"] += [(3, "r", "late", "h3", at(5), 0), (4, "r", "equal", "h4", at(20), 0), (5, None, "none", "h5", at(20), 0)]
-    assert run.run(lambda df: df) and not run.run(lambda df: df)
-    held["rows"] += [(6, "r", "new", "h6", at(30), 0), (1, "r", "a", "h0", at(9), 0)]
-    assert run.run(lambda df: df) and not run.run(lambda df: df)
-    assert {r["path"]: r["hash"] for r in run.result().collect()} == {"a": "h1", "b": "h2", "late": "h3", "equal": "h4", "none": "h5", "new": "h6"}
-    assert spark.read.parquet(*[str(p) for p in (tmp_path / "w").glob("batch=*")]).count() == 7
+    plan = run.plan()
+    log.append(spark.createDataFrame([("r", "late", "x", second(5)), ("r", "tied", "y", second(20)), ("r", "p3", "older", second(4)), (None, None, "none", second(20))], LOG), "day 2")
+    assert run.plan() == plan and run.rows(plan).count() == 8  # a plan is replayed as it was written, with the very same rows
+    assert run.run(lambda rows: rows)
+
+    plan = run.plan()
+    run.write(plan, run.rows(plan).limit(1))  # half a result, then lost
+    assert run.result().count() == 8
+    assert run.run(lambda rows: rows)
+    log.append(spark.createDataFrame([("r", "p4", "newer", second(30))], LOG), "day 3")
+
+    plan = run.plan()
+    run.write(plan, run.rows(plan))  # the whole result, no commit
+    again = changes.ChangeRun(spark, f"{tmp_path}/sink", log, changes.KEY, ["at", "hash"])
+    assert again.run(lambda rows: rows) and not again.run(lambda rows: rows)
+    got = {r["path"]: r["hash"] for r in again.result().collect()}
+    assert got == {**{f"p{n}": f"h{n}" for n in range(8)}, "late": "x", "tied": "y", "p4": "newer", None: "none"}
+    rows = written(spark, tmp_path)
+    assert rows.count() == 13 and rows.select("partition", "offset").distinct().count() == 13
+    again.compact()
+    assert {r["path"]: r["hash"] for r in again.result().collect()} == got and not list((tmp_path / "sink").glob("batch-*"))
+    assert len(list((tmp_path / "sink").glob("plan-*"))) == 1
+    log.append(spark.createDataFrame([("r", "p4", "newest", second(31))], LOG), "day 4")
+    assert again.run(lambda rows: rows)
+    assert {r["path"]: r["hash"] for r in again.result().collect()} == got | {"p4": "newest"}
+
+
+def test_batches_are_bounded_and_a_lost_delivery_is_whole(spark, tmp_path):
+    log, run = changes_of(spark, tmp_path, most=3)
+    rows = spark.createDataFrame([("r", f"p{n}", "h", second(1)) for n in range(20)] + [("r", "p0", "h", second(1))], LOG)
+    rows.withColumn("partition", F.lit(0)).withColumn("offset", F.lit(0)).write.parquet(f"{tmp_path}/log/rows-0")  # written, lost before its manifest
+    assert run.plan() is None and run.result() is None
+    assert log.append(rows, "one")
+    batches = 0
+    while run.run(lambda rows: rows):
+        batches += 1
+    assert batches >= 4 and written(spark, tmp_path).count() == 21 and run.result().count() == 20
+    assert max(r["n"] for r in spark.read.parquet(f"{tmp_path}/sink/batch-0").groupBy("partition").agg(F.count("*").alias("n")).collect()) <= 3
+
+
+def test_capture_agrees_with_joins_at_every_delivery(spark, tmp_path):
+    files = [(n, "r", f"a{n}", f"h{n}", second(10), 0) for n in range(12)]
+    hashes = [(1, "r", f"./a{n}", f"H{n}", T) for n in range(8)] + [(2, "r", "a1", "other", T)]
+    processed = [(1, "r", f"a{n}") for n in range(6)] + [(2, "r", "a1")]
+    runs = spark.createDataFrame([(1, "ok"), (2, "ok"), (3, "failed")], RUNS)
+    more_files = [(3, "r", "a3", "new", second(11), 0), (4, "r", "a4", "outdated", second(9), 0), (30, "r", "gone", None, second(10), 0), (12, None, None, "h", second(10), 0)]
+    more_hashes, more_processed = [(1, "r", "a9", "h9", T), (3, "r", "a10", "h10", T)], [(1, "r", "a9"), (1, "r", "a7"), (3, "r", "a10")]
+    held = changes.ChangedFiles(spark, str(tmp_path), 3)
+    parts = [(files, hashes, processed), ([], more_hashes, more_processed), (more_files, [], [])]
+    sofar = ([], [], [])
+    for n, part in enumerate(parts):
+        sofar = tuple(a + b for a, b in zip(sofar, part))
+        held.deliver(*tables(spark, *part, [])[:3], f"d{n}")
+        want = changes.pending(*tables(spark, *sofar, [])[:3], runs)
+        assert sorted(map(tuple, held.pending(runs).collect())) == sorted(map(tuple, want.collect()))
+    later = spark.createDataFrame([(1, "ok"), (3, "ok")], RUNS)
+    assert {r["seq"] for r in held.pending(later).collect()} == {r["seq"] for r in changes.pending(*tables(spark, *sofar, [])[:3], later).collect()}
+    held.run.compact()
+    assert held.pending(runs).count() == want.count()
+    assert not held.deliver(*tables(spark, *parts[0], [])[:3], "d0")
+
+
+def test_no_rows_at_all(spark, tmp_path):
+    held = changes.ChangedFiles(spark, str(tmp_path))
+    held.deliver(*tables(spark, [], [], [], [])[:3], "nothing")
+    assert held.log.manifest()["ends"] == {}
 
 
 def test_state(spark, tmp_path):

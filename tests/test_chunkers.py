@@ -91,3 +91,26 @@ def test_extra_columns_that_clash(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "seq int, name string, suffix string, text string")
     assert chunkers.chunk(df).count() == 0
+
+
+def test_registry(spark):
+    chunkers.register(".ini", lambda name, text, mode: F.transform(F.split(text, "\n"), lambda t: chunkers.chunk_struct(type=F.lit("line"), name=name, content=t)))
+    try:
+        got, _ = chunks(spark, "a.ini", "x\ny")
+        assert [(c["type"], c["name"], c["content"]) for c in got] == [("line", "a.ini", "x"), ("line", "a.ini", "y")]
+    finally:
+        chunkers.register(".ini", None)
+    assert chunks(spark, "a.ini", "x\ny")[0][0]["type"] == "file"
+    with pytest.raises(ValueError):
+        chunkers.register("ini", None)
+
+
+def test_segments_of_a_large_module():
+    source = "".join(f"class C{n}:\n    def f(self, ü='é'):\n        return {n}\n" for n in range(3000))
+    got = chunkers.python_chunks(source)
+    assert len(got) == 6000 and got[-1][3] == "def f(self, ü='é'):\n        return 2999"
+
+
+@pytest.mark.parametrize("source", ["(" * 5000, "x = " + "-" * 100000 + "1", "def f(): pass\n\x0cdef g(): pass\n"])
+def test_hard_sources(source):
+    assert [c[1] for c in chunkers.python_chunks(source)] == (["f", "g"] if source.startswith("def") else [])

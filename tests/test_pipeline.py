@@ -4,7 +4,7 @@ import os
 import pytest
 
 from grainmill import cli
-from grainmill.config import RunConfig, load_yaml_config
+from grainmill.config import RunConfig, interpolated, load_yaml_config
 from grainmill.plans.pipeline import Pipeline
 from grainmill.sources import listing
 
@@ -76,6 +76,27 @@ def test_small_files_and_modes(spark, tmp_path):
     assert (tmp_path / "o3" / "markdown" / "chunk_0.txt").read_text() == "# H\nfour words are here\n\n\n"
 
 
+def test_state_as_tables(spark, tree, tmp_path):
+    out = tmp_path / "out"
+    first = Pipeline(spark, RunConfig(str(tree), str(out), state="parquet")).run()
+    assert first["processed"].count() == len(NAMES) and not (out / "hashes.json").exists()
+    (tree / "a.py").write_text("def g(): pass\n")
+    again = Pipeline(spark, RunConfig(str(tree), str(out), state="parquet")).run()
+    assert [r["path"] for r in again["processed"].collect()] == ["a.py"] and again["skipped"].count() == len(NAMES) - 1
+    assert spark.read.parquet(str(out / "metadata" / "processed_files")).count() == 1
+    Pipeline(spark, RunConfig(str(tree), str(out), state="parquet")).run()
+    assert sorted(p.name for p in (out / "hashes").iterdir()) == ["run=1", "run=2"]
+
+
+def test_interpolation(monkeypatch):
+    monkeypatch.setenv("WORDS_OF", "7")
+    got = interpolated({"base": "/x", "a": {"b": 3}, "repo_path": "${base}/t", "max_words": "${a.b}", "l": ["${oc.env:WORDS_OF}", "${oc.env:NOT_THERE,d}"]})
+    assert got["repo_path"] == "/x/t" and got["max_words"] == 3 and got["l"] == ["7", "d"]
+    for bad in ({"a": "${b}", "b": "${a}"}, {"a": "${no}"}, {"a": "${oc.env:NOT_THERE}"}):
+        with pytest.raises(ValueError):
+            interpolated(bad)
+
+
 def test_empty_tree(spark, tmp_path):
     (tmp_path / "t").mkdir()
     _, meta, hashes = run(spark, tmp_path / "t", tmp_path / "o")
