@@ -95,13 +95,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))[0]
 
 
+def p10_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with the least of those it shares a span with, without making pairs."""
+    return spans.representatives(table(spark, d, "documents"))
+
+
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
 QUERIES = [
     p1_found, p1_redacted, p3_found, p3_pairs, p4_packed, p4_files, p5_found, p5_shares, p6_found, p6_signs, p7_found, p7_rates,
-    p8_ids, p9_mixture, p9_shares, p10_found, p10_shared,
+    p8_ids, p9_mixture, p9_shares, p10_found, p10_sets, p10_shared,
 ]
 
 
