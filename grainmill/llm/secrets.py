@@ -1,15 +1,14 @@
 """Credentials written out in source code (problem 1).
 
-1. Every text is scanned once for literals in places where credentials stand. They go, with
-   their line, into a corpus-wide index of literals.
-2. The index counts the owners (repositories) of every literal. Values of weak structure that
-   many owners share are placeholders and are suppressed, whatever they look like.
-3. Rare values with the structure of a credential are confirmed.
+1. Every text is scanned once for literals in places where credentials stand, whatever they look
+   like. They go into a corpus-wide index of literals.
+2. The index counts the owners (repositories) of every literal. Values that many owners share are
+   placeholders and are suppressed, long ones and ones of an issuer's form too.
+3. Of the rare values those with the structure of a credential are confirmed.
 4. Every whole text is scanned again for the confirmed values, so that a secret is also found in
-   places that say nothing about it, whatever stands beside it. Of each value one gram of six
-   bytes routes: texts that may hold it, by a filter of fixed size, are joined with the values
-   of the gram and read by an automaton of them, so neither the driver nor any task holds all
-   confirmed values.
+   places that say nothing about it. Of each value one gram of six bytes routes: texts that may
+   hold it, by a filter of fixed size, are joined with the values of the gram and read by an
+   automaton of them, so neither the driver nor any task holds all confirmed values.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrowmap import map_batches
 
-#: Owners from which on a value of weak structure counts as a placeholder.
+#: Owners from which on a value counts as a placeholder.
 OWNERS = 4
 
 REDACTED = "REDACTED"
@@ -85,7 +84,7 @@ MORE = re.compile(rf"\s*(?:(?:\+|\.|\\\n)\s*)?(?:{_STR})")
 
 #: A name, an assignment and a literal, perhaps in pieces; or a bare value.
 ASSIGN = re.compile(
-    rf"(?P<name>[A-Za-z_À-ž][\w.À-ž-]*)[\"'\]]*\s*(?::\s*[\w\[\]<>., |]+?(?==)|\[\d*\])?\s*(?:=>|:=|\?=|=(?!=)|:(?!:))"
+    rf"(?<![\w.À-ž-])[-.\d]*+(?P<name>[A-Za-z_À-ž][\w.À-ž-]*+)[\"'\]]*\s*(?::\s*[\w\[\]<>., |]{{1,300}}?(?==)|\[\d*\])?\s*(?:=>|:=|\?=|=(?!=)|:(?!:))"
     rf"(?:\s*(?:[({{\[]\s*)?[rRbBuUfL@]{{0,2}}(?P<lit>{_PIECES})|[ \t]*(?P<bare>[^\s\"'`,;(){{}}\[\]<>#][^\s\"'`,;(){{}}\[\]<>]*(?![^\s,;]*[(\[])))"
 )
 PAIR = re.compile(rf"[\"'](?P<name>[A-Za-z_][\w.-]*)[\"']\s*\]?\s*[,)]\s*(?:or\s*|\?\?\s*|\|\|\s*)?(?P<lit>{_PIECES})")
@@ -126,10 +125,8 @@ TRIGGER = re.compile(
 #: Bytes of the gram that routes a confirmed value, the bits of the filter of grams as a power of two, and bytes of text looked at at once.
 GRAM, FILTER_BITS, BLOCK = 6, 26, 1 << 20
 
-#: Characters from which on a line is looked at in stretches around its triggers, and their reach.
-LONGEST_LINE, AROUND = 2000, 600
-#: Characters of the longest value.
-LONGEST_VALUE = 4000
+#: Characters from which on a line is looked at in stretches around its triggers, and how far these begin before and go on after one. What begins in a stretch is read to its end.
+LONG_LINE, AROUND = 2000, 600
 
 BARE_SUFFIXES = (".env", ".yaml", ".yml", ".ini", ".cfg", ".conf", ".toml", ".properties", ".txt", ".md", ".sh")
 
@@ -160,10 +157,15 @@ def named(value: str) -> bool:
     return sum(map(len, words)) >= 3.5 * len(words)
 
 
+def is_candidate(value: str) -> bool:
+    """Can a literal go into the index: one word of some length?"""
+    return len(value) >= 4 and not re.search(r"\s", value)
+
+
 def is_value(value: str) -> bool:
-    """Can a literal in the place of a credential be one?"""
+    """Has a rare literal in the place of a credential the structure of one?"""
     return (
-        6 <= len(value) <= LONGEST_VALUE
+        len(value) >= 6
         and not re.search(r"\s", value)
         and not PLACEHOLDER.fullmatch(value)
         and not REFERENCE.search(value)
@@ -196,34 +198,38 @@ def basic(value: str) -> bool:
 def regions(text: str) -> Iterator[tuple[int, int, int, int]]:
     """``(begin, end, line, reach)`` of every line with a trigger; ``line`` is where it ends, ``reach`` takes in two lines more, for values that follow or go on there.
 
-    Of a very long line come the stretches around its triggers. What begins before ``end`` is
-    read to its end: a value of any length that one can have lies within ``line`` or ``reach``.
+    Of a very long line come the stretches around its triggers; what begins before ``end`` is
+    read to its end, however far that is.
     """
     low = text.lower()
     if len(low) != len(text):  # some letters grow when made small
         low = "".join(c if len(c) == 1 else "?" for c in map(str.lower, text))
-    lines, long = set(), set()
+    lines: dict[int, int] = {}
     for hint in HINTS:
         at = low.find(hint)
         while at >= 0:
             begin, end = low.rfind("\n", 0, at) + 1, low.find("\n", at)
             end = len(low) if end < 0 else end
-            if end - begin > LONGEST_LINE:
-                long.add((begin, end))
-            elif begin not in lines and TRIGGER.search(low, begin, end):
-                lines.add(begin)
+            if begin not in lines and TRIGGER.search(low, begin, end):
+                lines[begin] = end
             at = low.find(hint, end)
-    for begin, end in sorted(long):
+    for begin, end in sorted(lines.items()):
+        reach = end
+        for _ in range(2):
+            reach = text.find("\n", reach + 1)
+            if reach < 0:
+                reach = len(text)
+                break
+        if end - begin <= LONG_LINE:
+            yield begin, end, end, reach
+            continue
         last = begin
         for m in TRIGGER.finditer(low, begin, end):
             if m.start() >= last:
-                last = min(end, m.end() + AROUND)
-                yield max(begin, m.start() - AROUND), last, min(end, last + AROUND + LONGEST_VALUE), min(end, last + AROUND + LONGEST_VALUE)
-    for begin in sorted(lines):
-        reach = end = text.find("\n", begin) + 1 or len(text) + 1
-        for _ in range(2):
-            reach = text.find("\n", reach) + 1 or len(text) + 1
-        yield begin, end - 1, end - 1, min(reach - 1, end + LONGEST_LINE + LONGEST_VALUE)
+                first, last = max(begin, last, m.start() - AROUND), min(end, m.end() + AROUND)
+                while first > begin and (low[first - 1].isalnum() or low[first - 1] in "_.-"):  # a name is not cut
+                    first -= 1
+                yield first, last, end, reach
 
 
 def key_end(text: str, at: int) -> int:
@@ -237,71 +243,72 @@ def key_end(text: str, at: int) -> int:
     return rest.end() if rest else at
 
 
-def pieces(m: re.Match, text: str, begin: int) -> str:
-    """The literal of a match in ``text[begin:]``, with the pieces that follow it however far they go."""
-    at = begin + m.end("lit")
+def pieces(m: re.Match, text: str) -> str:
+    """The literal of a match in ``text``, with the pieces that follow it however far they go."""
+    at = m.end("lit")
     while more := MORE.match(text, at):
         at = more.end()
-    return text[begin + m.start("lit") : at]
+    return text[m.start("lit") : at]
 
 
-def literals(text: str, suffix: str = "") -> Iterator[tuple[int, int, str, bool]]:
-    """``(begin, end, value, whole)`` of every credential-like literal of a text, pieces over any number of lines together.
+def literals(text: str, suffix: str = "") -> Iterator[tuple[int, int, str, bool, bool]]:
+    """``(begin, end, value, whole, structured)`` of every literal in the place of a credential, pieces over any number of lines together.
 
-    ``whole`` is false where the value stands in pieces. The same value may come twice. A private
-    key has an empty value.
+    ``whole`` is false where the value stands in pieces; ``structured`` says whether it looks
+    like a credential. The same value may come twice. A private key has an empty value.
     """
     if "PRIVATE KEY" in text:
         for m in PRIVATE.finditer(text):
             if BODY.match(text, m.end()):
-                yield m.start(), key_end(text, m.end()), "", True
+                yield m.start(), key_end(text, m.end()), "", True, True
+    said = -1
     for begin, end, line, reach in regions(text):
-        for a, b, value, whole in _in_line(text, begin, reach, end - begin, line - begin, suffix):
-            yield begin + a, begin + b, value, whole
+        for found in _in_line(text, begin, end, line, reach, suffix):
+            if is_candidate(found[2]):
+                yield found
+        if line != said:
+            said = line
+            yield from _in_comments(text, text.rfind("\n", 0, begin) + 1, line)
+
 
+def _in_line(text: str, begin: int, end: int, line: int, reach: int, suffix: str) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """Literals that begin from ``begin`` to ``end`` of a line that ends at ``line``; assigned ones may go on up to ``reach``."""
 
-def _in_line(whole: str, begin: int, reach: int, end: int, stop: int, suffix: str) -> Iterator[tuple[int, int, str, bool]]:
-    """Literals of ``whole[begin:reach]`` that begin before ``end``; its first line ends at ``stop``."""
-    text = whole[begin:reach]
-    line = text[:stop]
-    for m in ASSIGN.finditer(text):
-        if m.start() > end:
-            break
+    def matches(pattern: re.Pattern, upto: int) -> Iterator[re.Match]:
+        for m in pattern.finditer(text, begin, upto):
+            if m.start() > end:
+                return
+            yield m
+
+    for m in matches(ASSIGN, reach):
         name, lit, bare = m["name"], m["lit"], m["bare"]
         if lit is not None:
-            lit = pieces(m, whole, begin)
+            lit = pieces(m, text)
             value = joined(lit)
             single = len(PIECE.findall(lit)) == 1
-            if not HEAD.match(value) and (is_name(name) and is_value(value) or not single and _ISSUED.fullmatch(value)):
-                yield m.start("lit") + 1, m.start("lit") + len(lit) - 1, value, single
-        elif suffix in BARE_SUFFIXES and is_name(name) and is_value(bare):
-            yield m.start("bare"), m.end("bare"), bare, True
+            if not HEAD.match(value) and (is_name(name) or not single and _ISSUED.fullmatch(value)):
+                yield m.start("lit") + 1, m.start("lit") + len(lit) - 1, value, single, is_name(name) and is_value(value) or not single and bool(_ISSUED.fullmatch(value))
+        elif suffix in BARE_SUFFIXES and is_name(name):
+            yield m.start("bare"), m.end("bare"), bare, True, is_value(bare)
     for pattern in (PAIR, CALL):
-        for m in pattern.finditer(text):
-            if m.start() > end:
-                break
-            named = is_name(m["name"] if pattern is PAIR else m["who"][1:-1])
-            if named == (pattern is PAIR) and is_value(value := joined(lit := pieces(m, whole, begin))):
-                yield m.start("lit") + 1, m.start("lit") + len(lit) - 1, value, len(PIECE.findall(lit)) == 1
+        for m in matches(pattern, reach):
+            if is_name(m["name"] if pattern is PAIR else m["who"][1:-1]) == (pattern is PAIR):
+                value = joined(lit := pieces(m, text))
+                yield m.start("lit") + 1, m.start("lit") + len(lit) - 1, value, len(PIECE.findall(lit)) == 1, is_value(value)
     for pattern in (URL, FLAG, USER, SQL):
-        for m in pattern.finditer(line):
-            if m.start() > end:
-                break
+        for m in matches(pattern, line):
             value = m["val"]
-            if len(value) >= 4 and not PLACEHOLDER.fullmatch(value) and not REFERENCE.search(value) and (pattern is URL or mixed(value)):
-                yield m.start("val"), m.end("val"), value, True
-    for m in HEAD.finditer(line):
-        if m.start() > end:
-            break
+            yield m.start("val"), m.end("val"), value, True, not PLACEHOLDER.fullmatch(value) and not REFERENCE.search(value) and (pattern is URL or mixed(value))
+    for m in matches(HEAD, line):
         value = m["val"].rstrip(".")
-        if basic(value) if m["how"].lower() == "basic" else is_value(value):
-            yield m.start("val"), m.start("val") + len(value), value, True
-    for m in _ISSUED.finditer(line):
-        if m.start() > end:
-            break
-        if not PLACEHOLDER.fullmatch(m.group()):
-            yield m.start(), m.end(), m.group(), True
-    for m in COMMENT.finditer(line[: RUN.match(line, end).end()]):
+        yield m.start("val"), m.start("val") + len(value), value, True, basic(value) if m["how"].lower() == "basic" else is_value(value)
+    for m in matches(_ISSUED, line):
+        yield m.start(), m.end(), m.group(), True, not PLACEHOLDER.fullmatch(m.group())
+
+
+def _in_comments(text: str, begin: int, end: int) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """Words that look like credentials in the comments of a line."""
+    for m in COMMENT.finditer(text, begin, end):
         part = "said" if m["said"] is not None else "after"
         if SAYS.search(m[part]):
             for t in re.finditer(r"[^\s=:\"'`,;()<>]+(?:[=:][^\s=:\"'`,;()<>]+)*={0,2}", m[part]):
@@ -310,7 +317,7 @@ def _in_line(whole: str, begin: int, reach: int, end: int, stop: int, suffix: st
                 if cut and (is_name(cut.group()[:-1]) or cut.group().lower() in ("key=", "key:")):
                     value, at = value[cut.end() :], at + cut.end()
                 if is_value(value) and (STANDING.fullmatch(value) or random_looking(value)):
-                    yield m.start(part) + at, m.start(part) + at + len(value), value, True
+                    yield m.start(part) + at, m.start(part) + at + len(value), value, True, True
 
 
 def random_looking(value: str) -> bool:
@@ -327,7 +334,7 @@ def line_of(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
-INDEX = "seq bigint, chunk_idx int, repo string, line_no int, value string, strong int"
+INDEX = "seq bigint, chunk_idx int, repo string, line_no int, value string, structured boolean"
 
 
 def index(chunks: DataFrame) -> DataFrame:
@@ -339,12 +346,12 @@ def index(chunks: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 dot = (path or "").rfind(".")
-                seen = set()
-                for begin, _, value, _ in literals(text, path[dot:] if path and dot >= 0 else ""):
+                seen: dict[tuple[int, str], bool] = {}
+                for begin, _, value, _, structured in literals(text, path[dot:] if path and dot >= 0 else ""):
                     row = line_of(text, begin), value
-                    if row not in seen:
-                        seen.add(row)
-                        yield seq, idx, repo, row[0], value, strength(value) if value else 3
+                    seen[row] = seen.get(row, False) or structured
+                for (line, value), structured in seen.items():
+                    yield seq, idx, repo, line, value, structured
 
         return scan
 
@@ -352,16 +359,32 @@ def index(chunks: DataFrame) -> DataFrame:
     return map_batches(rows, make, INDEX)
 
 
-def confirmed(found: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """The values of the index that are credentials: ``(value)``.
+def owned(found: DataFrame) -> DataFrame:
+    """``(value, owners, structured)``: every literal of the index with its number of owners.
 
-    A value of weak structure with ``owners`` or more owners is a placeholder. Owners are counted
-    over all rows, distinct by value and owner before they meet, so that a value that a third of
-    all rows hold is counted in parts.
+    Rows come distinct by value and owner before they meet, so that a value that a third of all
+    rows hold is counted in parts.
     """
     held = found.where("value is not null and value <> ''")
-    per = held.groupBy("value", F.coalesce("repo", F.lit("")).alias("repo")).agg(F.max("strong").alias("strong"))
-    return per.groupBy("value").agg(F.count("*").alias("owners"), F.max("strong").alias("strong")).where((F.col("strong") >= 2) | (F.col("owners") < owners)).select("value")
+    per = held.groupBy("value", F.coalesce("repo", F.lit("")).alias("repo")).agg(F.max("structured").alias("structured"))
+    return per.groupBy("value").agg(F.count("*").alias("owners"), F.max("structured").alias("structured"))
+
+
+def confirmed(found: DataFrame, owners: int = OWNERS) -> DataFrame:
+    """The values of the index that are credentials, ``(value)``: with fewer than ``owners`` owners, and structured at one place at least."""
+    return owned(found).where((F.col("owners") < owners) & F.col("structured")).select("value")
+
+
+def stands(text: str, begin: int, end: int) -> bool:
+    """Is ``text[begin:end]`` a value of its own there, not part of a longer word or of an identifier?
+
+    Letters or digits on either side make it another value. Beside an underline a long or issued
+    value still counts, as no identifier is made of it; a short one may be part of a name.
+    """
+    value, before, after = text[begin:end], text[begin - 1 : begin] if begin else "", text[end : end + 1]
+    if before.isalnum() and value[0].isalnum() or after.isalnum() and value[-1].isalnum():
+        return False
+    return "_" not in (before, after) or strength(value) >= 2
 
 
 def grams(value: str) -> dict[int, int]:
@@ -478,8 +501,7 @@ def rescan(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
                 lines = None
                 for end, value in automaton.iter(text):
                     at = end - len(value) + 1
-                    before, after = text[max(0, at - 1) : at], text[end + 1 : end + 2]
-                    if not (before.isalnum() and value[0].isalnum()) and not (after.isalnum() and value[-1].isalnum()):
+                    if stands(text, at, end + 1):
                         lines = lines or [m.start() for m in re.finditer("\n|\\Z", text)]
                         yield seq, idx, bisect.bisect_left(lines, at) + 1, value
 
@@ -499,7 +521,7 @@ def find(chunks: DataFrame, owners: int = OWNERS) -> DataFrame:
 
     found = stage(index(chunks), "literals")
     values = stage(anchored(confirmed(found, owners)), "values")
-    by_place = found.where("value <> ''").select("seq", "chunk_idx", "line_no", "value").join(values.select("value"), "value", "left_semi")
+    by_place = found.where("value <> '' and structured").select("seq", "chunk_idx", "line_no", "value").join(values.select("value"), "value", "left_semi")
     keys = found.where("value = ''").select("seq", "chunk_idx", "line_no", "value")
     columns = ["seq", "chunk_idx", "line_no", "value"]
     return by_place.select(columns).unionByName(keys).unionByName(rescan(chunks, values)).distinct()
@@ -508,7 +530,7 @@ def find(chunks: DataFrame, owners: int = OWNERS) -> DataFrame:
 def redact_text(text: str, values: list[str], suffix: str = "") -> str:
     """``text`` with every confirmed value replaced, quotes, line breaks and all other text kept."""
     wanted, spans = set(values), []
-    for begin, end, value, whole in literals(text, suffix):
+    for begin, end, value, whole, _ in literals(text, suffix):
         if value in wanted and value:
             if whole:
                 spans.append((begin, end))
@@ -522,10 +544,11 @@ def redact_text(text: str, values: list[str], suffix: str = "") -> str:
     for value in sorted(wanted - {""}, key=len, reverse=True):
         at = text.find(value)
         while at >= 0:
-            spans.append((at, at + len(value)))
-            at = text.find(value, at + len(value))
+            if stands(text, at, at + len(value)):
+                spans.append((at, at + len(value)))
+            at = text.find(value, at + 1)
     out, last = [], 0
-    for a, b in sorted(set(spans)):
+    for a, b in sorted(set(spans), key=lambda x: (x[0], -x[1])):
         if a >= last:
             out += [text[last:a], REDACTED]
         last = max(last, b)

@@ -32,15 +32,19 @@ NOT = [
 ]
 
 
+def values_of(text, suffix=""):
+    return [x[2] for x in S.literals(text, suffix) if x[4]]
+
+
 @pytest.mark.parametrize("path, text, line", FOUND)
 def test_found(path, text, line):
-    got = {S.line_of(text, b) for b, *_ in S.literals(text, path[path.rfind(".") :])}
+    got = {S.line_of(text, x[0]) for x in S.literals(text, path[path.rfind(".") :]) if x[4]}
     assert got == {line}
 
 
 @pytest.mark.parametrize("path, text", NOT)
 def test_not_found(path, text):
-    assert [v for *_, v, _ in S.literals(text, path[path.rfind(".") :])] == []
+    assert values_of(text, path[path.rfind(".") :]) == []
 
 
 def chunks(spark, rows):
@@ -99,14 +103,14 @@ def test_long_lines():
     long, fill = "aB3" * 1200, "var q=1;" * 400
     jwt = f"eyJhbGciOiJI.eyJzdWIiOiIx.{long}"
     for text, value in ((f'{fill}apiKey="{long}";{fill}', long), (f'secret =\n  "{long}"', long), (f'{fill}h("Bearer {jwt}");{fill}', jwt), (f'{fill}x="{jwt}";{fill}', jwt), (f'{fill}u="mysql://svc:{long}@db.invalid/x";{fill}', long)):
-        assert {v for *_, v, _ in S.literals(text, ".js")} == {value}
-    assert {v for *_, v, _ in S.literals("# token " + "it is " * 90 + long + " so" * 900, ".py")} == {long}
+        assert set(values_of(text, ".js")) == {value}
+    assert set(values_of("# token " + "it is " * 90 + long + " so" * 900, ".py")) == {long}
 
 
 def test_pieces_over_many_lines_and_keys_without_end():
     parts = ["E0J1uSWgJNgG", "mIKJcHByiNOD", "zIGERv29aptO", "LrIbZtWRFsKm", "P2AEYpQnrh0F"]
     text = "token = (\n" + "\n".join(f'    "{x}"' for x in parts) + "\n)\nx = 1\n"
-    values = [v for *_, v, _ in S.literals(text, ".py")]
+    values = values_of(text, ".py")
     assert values == ["".join(parts)]
     assert S.redact_text(text, values, ".py") == "token = (\n" + '    "REDACTED"\n' * 5 + ")\nx = 1\n"
     begin, *body, end = KEY.split("\n")
@@ -120,3 +124,54 @@ def test_pieces_over_many_lines_and_keys_without_end():
     escaped = (begin + "\\n" + body[0] + "\\n" + body[1][:9] + '", "other": "words"')
     assert S.redact_text(escaped, [""]) == begin + '\\nREDACTED\\nREDACTED", "other": "words"'
     assert S.redact_text("a ghX1ghX1 b", ["ghX1gh", "ghX1ghX1"]) == "a REDACTED b"
+
+
+def test_owner_count_and_second_scan_change_the_rows(spark):
+    """Shared placeholders, long ones too, are suppressed by their owners alone; unlabelled reuse is found by the automaton alone."""
+    shared = {"weak": "atlas2678*", "long": "Zx8Q2mV7Lw4Tr9Kd1Pb6Nc3H", "issued": "ghp_" + "a1B2" * 9}
+    rare = {"weak": "plaza2537?", "long": "Yw7R3nU8Kx5Sq0Je2Oa7Mb4G", "huge": "k9Lm" * 1100}
+    rows = [(f"s{n}", f"a{k}.py", f'{k}_token = "{v}"', None) for k, v in shared.items() for n in range(S.OWNERS)]
+    rows += [(f"r{k}", "b.py", f'{k}_token = "{v}"', None) for k, v in rare.items()]
+    rows += [("x", "notes.txt", None, f"first line\nhere stands {v} in a sentence") for v in rare.values()]
+    df = chunks(spark, rows)
+    index = S.index(df)
+    assert {r["value"] for r in index.where("structured").collect()} == {*shared.values(), *rare.values()}
+    assert {r["value"] for r in S.confirmed(index).collect()} == set(rare.values())
+    n = len(shared) * S.OWNERS
+    direct = {(r["seq"], r["line_no"]) for r in index.where("structured").collect()}
+    got = {(r["seq"], r["line_no"]) for r in S.find(df).collect()}
+    assert direct - got == {(k, 1) for k in range(n)} and got - direct == {(n + 3 + k, 2) for k in range(3)}
+    placeholder = chunks(spark, [("r", "c.py", 'token = "changeme"', None), ("r", "d.py", 'token = "${TOKEN}"', None)])
+    assert S.index(placeholder).count() == 2 and S.find(placeholder).count() == 0
+
+
+def test_redaction_keeps_identifiers():
+    text = 'password = "abc9K1x"\ndef abc9K1xHandler(): return table_abc9K1x_v2\n# abc9K1x, "abc9K1x"\n'
+    assert S.redact_text(text, ["abc9K1x"], ".py") == 'password = "REDACTED"\ndef abc9K1xHandler(): return table_abc9K1x_v2\n# REDACTED, "REDACTED"\n'
+    assert S.redact_text(f'a = "{TOKEN}_old {TOKEN}x"', [TOKEN]) == f'a = "REDACTED_old {TOKEN}x"'
+
+
+@pytest.mark.parametrize("suffix, text", [
+    (".py", 'def f(x):\n    password = "abc9K1x"\n    url = f"mysql://u:abc9K1x@h/{x}"\n    return password  # abc9K1x\n'),
+    (".js", "const a = {'password': 'abc9K1x', t: `x abc9K1x ${b}`};\nlogin('me', 'abc9K1x');\n"),
+    (".ts", "class A { private password: string = 'abc9K1x'; abc9K1x_x = 1; }\n"),
+    (".java", 'class A { String password = "abc9K1x"; int abc9K1x_n = 1; /* abc9K1x */ }\n'),
+    (".c", '#define PASSWORD "abc9K1x"\nstatic const char *password = "abc9K1x";\nint abc9K1xLen(void) { return 7; }\n'),
+    (".cpp", 'namespace a { const char* password = "abc9K1x"; std::string s{"abc9K1x"}; }\n'),
+    (".json", '{"password": "abc9K1x", "n": [1, "x abc9K1x"]}'),
+])
+def test_redacted_text_still_parses(suffix, text):
+    from grainmill.llm.parsecheck import fault
+
+    got = S.redact_text(text, ["abc9K1x"], suffix)
+    assert fault(text, suffix) is None and fault(got, suffix) is None
+    assert '"abc9K1x"' not in got and "'abc9K1x'" not in got and got.count("\n") == text.count("\n")
+
+
+def test_long_runs_are_quick():
+    import time
+
+    began = time.time()
+    for text in ("token " + "aB3x" * 250000, "token " + "aB3/+" * 200000, "x = 'token' " + "a:1,b:2," * 60000, "token=" + "#" * 300000):
+        list(S.literals(text + " token ", ".js"))
+    assert time.time() - began < 30
