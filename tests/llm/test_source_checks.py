@@ -118,10 +118,36 @@ def test_not_handwritten(spark):
     df = spark.createDataFrame(rows, CHUNK)
     got = {r["seq"]: r["signs"] for r in G.not_handwritten(files, df.unionByName(df), skipped).collect()}
     assert set(got) == {0, 1, 2, 12, 14, 16, 17, 18, 20, 30, 31, 33, 35}
-    assert got[0] == ["vendored"] and got[16] == ["minified"] and got[17] == ["data"] and got[31] == ["generated", "skipped by path"]
+    assert got[0] == ["recurs in other repositories"] and got[16] == ["minified"] and got[17] == ["data"] and got[20] == ["banner of a library"] and got[31] == ["name of a made file", "skipped by path"]
     assert G.not_handwritten(files.limit(0), df.limit(0), skipped.limit(0)).count() == 0
 
 
+def test_recurring_in_unrelated_repositories(spark):
+    """Copies in any folder and of any suffix, also edited a little; not in forks, in one other repository only, or of little text."""
+    lib, fork, pair = body(5), body(6), body(7)
+    edited = lib.replace("function", "/* kept */ function", 2) + "\nlet more = 1;"
+    rows = [
+        *(chunk(n, f"src/m{n}/a.js", content=lib, repo=f"r{n}") for n in range(3)), chunk(3, "deep/in/b.rs", content=edited.upper(), repo="r3"),
+        *(chunk(10 + n, "app/main.js", content=fork, repo=f"f{n}") for n in range(4)),
+        chunk(20, "p.js", content=pair, repo="r0"), chunk(21, "q.js", content=pair, repo="r1"), chunk(22, "r.js", content=pair, repo="r1"),
+        *(chunk(30 + n, f"s{n}.js", content="export default { name: 'x', value: 1, list: [1, 2, 3] };", repo=f"r{n}") for n in range(4)),
+    ]
+    df = spark.createDataFrame(rows, CHUNK)
+    files = df.select("seq", "repo", "path").union(spark.range(90).selectExpr("1000 + id", "concat('f', id % 3)", "concat('app/part', id div 3, '.js')"))
+    files = files.union(spark.sql("select 2000 + id, 'f3', concat('app/part', id, '.js') from range(30)"))
+    got = {r["seq"]: r["signs"] for r in G.not_handwritten(files, df).collect()}
+    assert got == dict.fromkeys(range(4), ["recurs in other repositories"])
+    assert G.families(files).where("repo like 'f%'").select("family").distinct().count() == 1
+    assert G.not_handwritten(files, df, rate=0.9).count() == 0  # few repositories of all
+
+
+def test_tokens():
+    same = ["x = f(1, 'a')  # says", "X=f(22,\"b c\")"]
+    assert G.tokens(same[0], suffix="py").tolist() == G.tokens(same[1], suffix="py").tolist()
+    assert len(G.tokens("a /* b */ // c\n d", suffix="js")) == 2 and len(G.tokens("#include <a>", suffix="c")) == 5
+    assert G.fingerprints("").tolist() == [] and len(G.fingerprints("a b " * 500)) == 2
+
+
 def test_code_counts_cover_whole_texts(spark, tmp_path):
     import base64
 
@@ -135,4 +161,4 @@ def test_code_counts_cover_whole_texts(spark, tmp_path):
 
 def test_lock_files_with_a_long_head():
     text = '{"name": "x", "about": "' + "word " * 200 + '", "lockfileVersion": 3, "a": {"resolved": "u", "integrity": "v"}}'
-    assert G.signs("file", text, None, "json") == "lock"
+    assert G.signs("file", text, None, "json") == "lock file"
