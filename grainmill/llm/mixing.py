@@ -1,7 +1,7 @@
 """Mixing sources to target weights (problem 9).
 
 Records are counted by source and exact number of tokens. The total is the largest that every
-source with records can serve at its share with its repetitions. Each source's budget is met by
+source with records can serve at its share with its repetitions, or one that is given. Each source's budget is met by
 using all its records as often as it holds, then a part of them once more: in proportion from
 every length, and the last stretch by a bounded-knapsack dynamic program over the lengths still
 left, which hits the budget to the token where it can be hit. Which records of a length are taken
@@ -76,12 +76,14 @@ def choose(histogram: dict[int, int], budget: int, repeats: int) -> tuple[int, d
     return int(base), {n: k for n, k in extra.items() if k > 0}
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = None, total: int | None = None) -> DataFrame:
     """``(doc_id, source, n_tokens, uses)`` of every record in the mixture.
 
     ``documents``: doc_id, text, source; ``targets``: source, target_share, max_repeats. Records
     of sources without a target, and texts without tokens (null, empty), are not used; targets
-    without records get nothing and the shares of the others grow in proportion. Of rows with
+    without records get nothing and the shares of the others grow in proportion. ``total``: the
+    tokens wanted; a source that can't serve its share of them gives all it may, and ``shares``
+    says what share that is. Without it, the total is what the scarcest source can serve. Of rows with
     the same doc_id one counts; a source listed twice counts with its greatest share; a null
     ``max_repeats`` counts as 1. Empty tables give an empty mixture.
     """
@@ -96,7 +98,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | Non
         histogram.setdefault(r["source"], {})[r["n_tokens"]] = r["n"]
     goals = {r["source"]: (r["share"], r["repeats"]) for r in wanted.collect() if r["source"] in histogram and r["repeats"] > 0}
     whole = sum(s for s, _ in goals.values())
-    most = min((sum(n * c for n, c in histogram[s].items()) * reps / (share / whole) for s, (share, reps) in goals.items()), default=0)
+    most = min((sum(n * c for n, c in histogram[s].items()) * reps / (share / whole) for s, (share, reps) in goals.items()), default=0) if total is None else total
     takes = []
     for s, (share, reps) in sorted(goals.items()):
         base, extra = choose(histogram[s], round(most * share / whole), int(reps))

@@ -3,11 +3,14 @@
 1. Comments, docstrings and string literals are lexed out of every chunk and cut into sentences;
    comments over several lines and literals put together from pieces are joined, escapes are
    read. The source around them, broken into the words of its identifiers, makes the code class.
-2. Sentences with words of a short list for just one language give unigram counts over the
-   subwords of a public tokenizer's vocabulary, for each language; code gives those of the code
-   class. Vocabulary and languages bound the table of counts, whatever the size of the corpus.
-3. Every sentence gets the class with the greatest posterior. What goes to the code class is no
-   sentence. Scripts that belong to one language decide by themselves.
+2. Sentences with words of a short list for just one language are the labelled rows. They give
+   unigram counts over the subwords of a public tokenizer's vocabulary, and a prior, for each
+   language; the identifiers give the counts of the code class, candidates without a label its
+   prior. Vocabulary and languages bound the table of counts, whatever the size of the corpus.
+3. Every sentence, labelled or not, gets the class with the greatest posterior. What goes to the
+   code class is no sentence. Scripts that belong to one language decide by themselves.
+   ``held_out`` measures the classifier on labelled sentences it hasn't seen, without the words
+   that labelled them.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -28,6 +31,12 @@ from ..session import shipped, stage
 from .tokenize import vocabulary
 
 SUFFIXES = (".py", ".js", ".ts", ".java", ".c", ".cpp", ".css", ".html")
+#: How comments are marked in files of each suffix, those of ``SUFFIXES`` and others.
+KINDS = {
+    **dict.fromkeys((".py", ".pyi", ".yaml", ".yml", ".toml", ".sh", ".env", ".ini", ".cfg", ".conf", ".rb", ".pl", ".r"), "py"),
+    **dict.fromkeys((".js", ".jsx", ".mjs", ".ts", ".tsx", ".java", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".go", ".rs", ".kt", ".swift", ".scala", ".php", ".json", ".html", ".xml", ".vue"), "c"),
+    **dict.fromkeys((".css", ".scss"), "css"), **dict.fromkeys((".sql", ".lua", ".hs"), "sql"),
+}
 CODE = "code"
 #: Words, or characters of scripts written without blanks, that make a sentence.
 WORDS, SIGNS = 5, 10
@@ -61,6 +70,7 @@ LEX = {
     "py": re.compile(rf"(?P<c>#[^\n]*(?:\n[ \t]*#[^\n]*)*)|(?P<s>(?:{_TRIPLE}|{_OPEN}|{_STR})(?:[ \t]*(?:\+|\\)?\s*[rRbBuUfF]{{0,2}}(?:{_TRIPLE}|{_STR}))*)"),
     "c": re.compile(rf"(?P<c>//[^\n]*(?:\n[ \t]*//[^\n]*)*)|(?P<b>/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z))|(?P<s>(?:{_STR})(?:\s*\+?\s*(?:{_STR}))*)"),
     "css": re.compile(r"(?P<b>/\*[\s\S]*?(?:\*/|\Z))"),
+    "sql": re.compile(rf"(?P<c>--[^\n]*(?:\n[ \t]*--[^\n]*)*)|(?P<b>/\*[\s\S]*?(?:\*/|\Z))|(?P<s>(?:{_STR}))"),
 }
 PIECE = re.compile(rf"{_TRIPLE}|{_OPEN}|{_STR}")
 ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]{1,6})\}|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|([nrt])|(\n)|(.))|&#(\d{2,7});|&#[xX]([0-9a-fA-F]{2,6});|\\([0-9a-fA-F]{4,6}) ?")
@@ -119,7 +129,7 @@ def units(text: str, how: str, around: list[str] | None = None) -> Iterator[str]
         if len(t) < SIGNS or t.isascii() and len(t.split(None, WORDS - 1)) < WORDS and "\\" not in t and "&#" not in t:
             continue
         if m.lastgroup == "c":
-            yield re.sub(r"(?m)^[ \t]*(?:#+[:!]?|//+[/!]?)", "", t)
+            yield re.sub(r"(?m)^[ \t]*(?:#+[:!]?|//+[/!]?|--+)", "", t)
         elif m.lastgroup == "b":
             yield re.sub(r"(?m)^[ \t]*\*+", "", re.sub(r"\A(?:/\*+!?|<!--)|(?:\*+/|-->)\Z", "", t))
         else:
@@ -228,17 +238,17 @@ def broken(name: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
 
 
-def extracted(chunks: DataFrame, path: str) -> DataFrame:
-    """``(seq, text, token, n)``: sentences, and for the code class the counts of subwords of all identifiers, summed within each batch."""
+def extracted(chunks: DataFrame, path: str, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
+    """``(seq, chunk_idx, text, token, n)``: sentences with how often each stands in a chunk, and for the code class the counts of subwords of all identifiers, summed within each batch."""
 
     def make():
         of = subwords(path)
 
-        def each(seqs, paths, kinds, texts, docs, comments):
+        def each(seqs, idxs, paths, kinds, texts, docs, comments):
             words: Counter = Counter()
-            for seq, path, kind, text, doc, said in zip(seqs, paths, kinds, texts, docs, comments):
-                suffix = path[path.rfind(".") :]
-                got = set()
+            for seq, idx, path, kind, text, doc, said in zip(seqs, idxs, paths, kinds, texts, docs, comments):
+                how = KINDS[path[path.rfind(".") :]]
+                got: Counter = Counter()
                 if said:
                     block: list[str] = []
                     last = None
@@ -253,29 +263,37 @@ def extracted(chunks: DataFrame, path: str) -> DataFrame:
                 if doc and not text:
                     got.update(sentences(doc))
                 if text:
-                    how = "py" if suffix == ".py" else "css" if kind in ("css_rule", "html_style", "css") else "c"
+                    how = "css" if kind in ("css_rule", "html_style", "css") else how
                     around: list[str] | None = [] if kind not in ("css_rule", "html_style") else None
                     for u in units(text, how, around):
                         got.update(sentences(u))
                     words.update(broken(" ".join(around or ())))
-                for s in got:
-                    yield seq, s, None, None
+                for s, n in got.items():
+                    yield seq, idx, s, None, n
             total: Counter = Counter()
             for w, n in words.items():
                 for t in of(w):
                     total[t] += n
             for t, n in total.items():
-                yield None, None, t, n
+                yield None, None, None, t, n
 
         return each
 
     suffix = F.regexp_extract("path", r"(\.[^./\\]+)$", 1)
-    rows = chunks.where(F.col("seq").isNotNull() & suffix.isin(*SUFFIXES)).select("seq", "path", "type", F.coalesce("code", "content").alias("text"), "docstring", "comments")
-    return map_batches(rows, make, "seq bigint, text string, token int, n bigint")
+    rows = chunks.where(F.col("seq").isNotNull() & suffix.isin(*(set(suffixes) & set(KINDS)))).select("seq", "chunk_idx", "path", "type", F.coalesce("code", "content").alias("text"), "docstring", "comments")
+    return map_batches(rows, make, "seq bigint, chunk_idx int, text string, token int, n bigint")
+
+
+def label(text: str) -> tuple[str | None, list[str]] | None:
+    """The language that seed words give a candidate in Latin script, and its words; null for what is no candidate."""
+    if script(text) is not None or not mostly_words(text):
+        return None
+    words = [plain(w) for w in WORD.findall(text)]
+    return seeded(words), words
 
 
 def counts(found: DataFrame, path: str) -> DataFrame:
-    """``(class, token, n)``: unigram counts of subwords by language and for code, summed within tasks first."""
+    """``(class, token, n)``: unigram counts of subwords by language and for code, summed within tasks first; token -1 counts candidates, labelled by language or not."""
 
     def run(batches):
         import pyarrow as pa
@@ -284,11 +302,11 @@ def counts(found: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             words: dict[str, Counter] = {}
             for text in batch.column(0).to_pylist():
-                if script(text) is None and mostly_words(text):
-                    ws = [plain(w) for w in WORD.findall(text)]
-                    lang = seeded(ws)
-                    if lang:
-                        words.setdefault(lang, Counter()).update(ws)
+                held = label(text)
+                if held:
+                    total[held[0] or CODE, -1] += 1
+                    if held[0]:
+                        words.setdefault(held[0], Counter()).update(held[1])
             for lang, ws in words.items():
                 for w, n in ws.items():
                     for t in of(w):
@@ -309,14 +327,22 @@ class Model:
         self.path, self.classes = path, sorted({r[0] for r in rows} | {CODE, "en"})
         at = {c: k for k, c in enumerate(self.classes)}
         table: dict[int, np.ndarray] = {}
-        total = np.zeros(len(self.classes))
+        total, met = np.zeros(len(self.classes)), np.ones(len(self.classes))
         for c, t, n in rows:
+            if t < 0:
+                met[at[c]] += n
+                continue
             table.setdefault(t, np.zeros(len(self.classes)))[at[c]] += n
             total[at[c]] += n
         self.none = np.log(smooth / (total + smooth * size))
         self.table = {t: np.log((v + smooth) / (total + smooth * size)) for t, v in table.items()}
+        self.prior = np.log(met / met.sum())
         self.words: dict[str, np.ndarray] = {}
 
+    def best(self, words: list[str]) -> str:
+        """The class with the greatest posterior."""
+        return self.classes[int(np.argmax(sum((self.word(w) for w in words), self.prior)))]
+
     def word(self, w: str) -> np.ndarray:
         if w not in self.words:
             if len(self.words) > 1 << 18:
@@ -333,34 +359,64 @@ class Model:
         words = [plain(w) for w in WORD.findall(sentence)]
         if len(words) < WORDS or not mostly_words(sentence):
             return None
-        best = self.classes[int(np.argmax(sum(self.word(w) for w in words)))]
+        best = self.best(words)
         return None if best == CODE else best
 
 
-def classified(chunks: DataFrame, path: str | None = None) -> DataFrame:
-    """``(seq, lang, text)`` of every sentence in comments, docstrings and literals, each once for a file.
+def classified(chunks: DataFrame, path: str | None = None, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
+    """``(seq, chunk_idx, lang, text, n)`` of every sentence in comments, docstrings and literals, with how often it stands in the chunk.
 
-    Files with other suffixes, null and empty texts hold none; repeated chunks count once; very
-    long texts are read whole; other columns are not read.
+    Files with other suffixes, null and empty texts hold none; repeated chunks give equal rows;
+    very long texts are read whole; other columns are not read.
     """
     path = path or vocabulary("byte_bpe_multi_50k.tiktoken")
-    found = stage(extracted(chunks, path), "sentences")
-    # at most the vocabulary times the classes
-    rows = [tuple(r) for r in counts(found, path).collect()]
-    shared = found.sparkSession.sparkContext.broadcast(rows)
+    found = stage(extracted(chunks, path, suffixes), "sentences")
+    shared = _trained(found, path)
 
     def make():
         model = _model(shared.value, path, id(shared))
 
-        def each(seqs, texts):
-            for seq, text in zip(seqs, texts):
+        def each(seqs, idxs, texts, ns):
+            for seq, idx, text, n in zip(seqs, idxs, texts, ns):
                 lang = model.classify(text)
                 if lang:
-                    yield seq, lang, text
+                    yield seq, idx, lang, text, n
 
         return each
 
-    return map_batches(found.where("text is not null").select("seq", "text"), make, "seq bigint, lang string, text string")
+    return map_batches(found.where("text is not null").select("seq", "chunk_idx", "text", "n"), make, "seq bigint, chunk_idx int, lang string, text string, n bigint")
+
+
+def _trained(found: DataFrame, path: str):
+    """The counts, sent to all tasks: at most the vocabulary times the classes."""
+    return found.sparkSession.sparkContext.broadcast([tuple(r) for r in counts(found, path).collect()])
+
+
+def held_out(chunks: DataFrame, path: str | None = None, part: int = 5) -> DataFrame:
+    """``(lang, sentences, right, right_without)`` on a ``part``-th of the labelled sentences, by a model of the others.
+
+    ``right_without``: the words of all seed lists are taken out of the sentence first.
+    """
+    path = path or vocabulary("byte_bpe_multi_50k.tiktoken")
+    found = stage(extracted(chunks, path), "sentences")
+    kept_out = F.pmod(F.xxhash64("text"), F.lit(part)) == 0
+    shared = _trained(found.where("token is not null").unionByName(found.where(F.col("text").isNotNull() & ~kept_out)), path)
+
+    def make():
+        model = _model(shared.value, path, id(shared))
+
+        def each(texts):
+            for text in texts:
+                held = label(text)
+                if held and held[0]:
+                    rest = [w for w in held[1] if w not in _seeds()]
+                    if rest:
+                        yield held[0], int(model.best(held[1]) == held[0]), int(model.best(rest) == held[0])
+
+        return each
+
+    rows = map_batches(found.where(F.col("text").isNotNull() & kept_out).select("text").distinct(), make, "lang string, a int, b int")
+    return rows.groupBy("lang").agg(F.count("*").alias("sentences"), F.avg("a").alias("right"), F.avg("b").alias("right_without"))
 
 
 _held: dict = {}
@@ -378,9 +434,14 @@ def languages(chunks: DataFrame, path: str | None = None) -> DataFrame:
     return classified(chunks, path).select("seq", "lang").distinct()
 
 
-def shares(chunks: DataFrame, path: str | None = None) -> DataFrame:
-    """``(seq, lang, sentences, chars, share)``: ``share`` is the part of the characters of the file's chunks, repeated chunks counted once."""
-    said = classified(chunks, path).distinct().groupBy("seq", "lang").agg(F.count("*").alias("sentences"), F.sum(F.length("text")).alias("chars"))
+def shares(chunks: DataFrame, path: str | None = None, suffixes: Iterable[str] = tuple(KINDS)) -> DataFrame:
+    """``(seq, lang, sentences, chars, share)`` of every file whose comments are known how to find.
+
+    A sentence counts as often as it stands there; a chunk delivered twice counts once. ``share``
+    is the part of the characters of the file's chunks.
+    """
+    said = classified(chunks, path, suffixes).groupBy("seq", "chunk_idx", "lang", "text").agg(F.max("n").alias("n"))
+    said = said.groupBy("seq", "lang").agg(F.sum("n").alias("sentences"), F.sum(F.col("n") * F.length("text")).alias("chars"))
     sizes = chunks.where("seq is not null").dropDuplicates(["seq", "chunk_idx"]).groupBy("seq").agg(
         F.sum(F.coalesce(F.length(F.coalesce("code", "content")), F.lit(0)) + F.coalesce(F.aggregate("comments", F.lit(0), lambda a, c: a + F.coalesce(F.length(c["text"]), F.lit(0))), F.lit(0))).alias("size")
     )

@@ -1,11 +1,14 @@
 """Encoding of texts with a byte-level BPE vocabulary (problem 8).
 
-The splitting pattern of the vocabulary has a bounded memory: after two characters every
-composition of its transition functions is constant. The associative scan over the character
-classes of a batch therefore closes after two steps, and a boundary is a function of the classes
-of four neighbouring characters. All texts of an Arrow batch are laid end to end as one array of
-code points, boundaries are found with a few array operations and no regular expression, and the
-slices between them go through a cache of merged pieces.
+All texts of an Arrow batch are laid end to end as one array of code points, and their classes
+are the symbols of a small automaton that splits as the vocabulary's pattern does. Each symbol is
+a transition function; the functions and all their compositions form a finite monoid, whose
+elements are numbered once. The states at all places come from an associative scan over these
+numbers by doubling, two compositions of the whole array at a time; it ends when every
+composition is constant, after two steps, as the automaton forgets all but four characters.
+Boundaries are then looked up by state and class, without a regular expression, and the slices
+between them go through a cache of merged pieces. Their offsets can be kept, so that any part of
+a text can be found in its ids and decoded.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import heapq
 import importlib
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -23,14 +27,9 @@ from pyspark.sql import functions as F
 
 from ..session import shipped
 
-OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
-
 #: Code points of the White_Space property, without the blank.
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
-#: The endings that the pattern keeps with an apostrophe.
-ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-
 #: Pieces that a worker keeps merged; the cache is emptied beyond that number.
 CACHE = 1 << 20
 
@@ -90,45 +89,118 @@ class CodePointClasses:
         return {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
 
 
+#: States: at the start of a text; in a piece of letters, numbers, other signs; after a blank, after other white space; after an apostrophe that begins a piece, after its r, v or l; after a whole ending.
+STATES = START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_BLANK, AFTER_SPACE, MARKED, MARKED_R, MARKED_V, MARKED_L, ENDED = range(11)
+#: Symbols: classes of code points, and those that endings are made of.
+SYMBOLS = OTHER, LETTER, NUMBER, SPACE, BLANK, APOSTROPHE, ALONE, R, V, L, E = range(11)
+
+
+def next_state(state: int, symbol: int) -> int:
+    """The automaton of the splitting pattern."""
+    if symbol in (SPACE, BLANK):
+        return AFTER_SPACE if symbol == SPACE else AFTER_BLANK
+    if symbol == NUMBER:
+        return IN_NUMBERS
+    if symbol == OTHER:
+        return IN_OTHERS
+    if symbol == APOSTROPHE:  # it begins a piece unless a blank or other signs take it in
+        return IN_OTHERS if state in (IN_OTHERS, AFTER_BLANK, MARKED) else MARKED
+    if state == MARKED:
+        return {ALONE: ENDED, R: MARKED_R, V: MARKED_V, L: MARKED_L}.get(symbol, IN_LETTERS)
+    if (state, symbol) in ((MARKED_R, E), (MARKED_V, E), (MARKED_L, L)):
+        return ENDED
+    return IN_LETTERS
+
+
+class Monoid:
+    """All compositions of the automaton's transition functions, numbered: ``product[a, b]`` is first a, then b."""
+
+    def __init__(self):
+        functions = [tuple(next_state(s, x) for s in STATES) for x in SYMBOLS]
+        functions += [(f[START],) * len(STATES) for f in functions]  # the first symbol of a text, whatever was before
+        number = {f: k for k, f in enumerate(dict.fromkeys(functions))}
+        self.symbol = np.array([number[f] for f in functions], np.uint8)
+        known = list(number)
+        for f in known:  # grows while it is read
+            for g in functions:
+                for h in (tuple(g[s] for s in f), tuple(f[s] for s in g)):
+                    if h not in number:
+                        number[h] = len(number)
+                        known.append(h)
+        self.product = np.array([[number[tuple(g[s] for s in f)] for g in known] for f in known], np.uint8)
+        self.constant = np.array([f[0] if len(set(f)) == 1 else 255 for f in known], np.uint8)
+
+    def states(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The state after each symbol: an inclusive scan by doubling, until all compositions are constant."""
+        held = self.symbol[symbols + np.where(first, np.uint8(len(SYMBOLS)), np.uint8(0))]
+        reach = 1
+        while True:
+            state = self.constant[held]
+            if reach >= len(held) or not (state == 255).any():
+                return state
+            held[reach:] = self.product[held[:-reach], held[reach:]]
+            reach *= 2
+
+
+@lru_cache(maxsize=1)
+def monoid() -> Monoid:
+    return Monoid()
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """The symbols of ASCII characters that have one of their own; 255 for others."""
+    out = np.full(128, 255, np.uint8)
+    for chars, symbol in (("'", APOSTROPHE), ("stmd", ALONE), ("r", R), ("v", V), ("l", L), ("e", E)):
+        for ch in chars:
+            out[ord(ch)] = symbol
+    return out
+
+
+@lru_cache(maxsize=1)
+def _begins() -> np.ndarray:
+    """Does a piece begin at a symbol, by the state before it: yes, no, or 2 where what follows decides."""
+    out = np.zeros((len(STATES), len(SYMBOLS)), np.uint8)
+    kind = {IN_LETTERS: "l", IN_NUMBERS: "n", IN_OTHERS: "o", MARKED_R: "l", MARKED_V: "l", MARKED_L: "l"}
+    for s in STATES:
+        for x in SYMBOLS:
+            white, sign = x in (SPACE, BLANK), "n" if x == NUMBER else "o" if x in (OTHER, APOSTROPHE) else "l"
+            if s == START:
+                out[s, x] = 1
+            elif white:
+                out[s, x] = 2 if s in (AFTER_SPACE, AFTER_BLANK) else 1
+            elif s == AFTER_BLANK:
+                out[s, x] = 0
+            elif s == MARKED:
+                out[s, x] = 0 if x in (ALONE, OTHER, APOSTROPHE) else 2 if x in (R, V, L) else 1
+            elif next_state(s, x) == ENDED:
+                out[s, x] = 0
+            else:
+                out[s, x] = kind.get(s) != sign
+    return out
+
+
 def boundaries(points: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """True where a piece begins. ``first``: True at the first character of each text."""
     n = len(points)
-    white = classes >= SPACE
-    blank = classes == BLANK
-    last = np.empty(n, bool)  # the last character of a text
-    last[:-1], last[-1] = first[1:], True
-    prev_white = np.empty(n, bool)
-    prev_white[0], prev_white[1:] = False, white[:-1]
-    prev_blank = np.empty(n, bool)
-    prev_blank[0], prev_blank[1:] = False, blank[:-1]
-    changed = np.ones(n, bool)
-    changed[1:] = classes[1:] != classes[:-1]
-    next_dark = np.zeros(n, bool)  # a character that is no white space follows in the same text
-    next_dark[:-1] = ~white[1:] & ~last[:-1]
-    # white space: a run is one piece, but its last character is cut off if text follows
-    start = white & (~prev_white | next_dark)
-    # text: a run of one class, which takes in one blank before it
-    start |= ~white & changed & ~(prev_blank & ~first)
-    start |= first
-    # endings: an apostrophe alone, not after a blank, keeps the letters of an ending
-    mark = np.flatnonzero((points == 0x27) & start & next_dark)
-    if len(mark):
-        mark = mark[classes[mark + 1] == LETTER]
-    if len(mark):
-        padded = np.concatenate([points, np.zeros(3, points.dtype)])
-        open_ = np.ones(len(mark), bool)
-        for ending in ENDINGS:
-            hit = open_.copy()
-            for k, ch in enumerate(ending, 1):
-                hit &= padded[mark + k] == ord(ch)
-                if k > 1:
-                    hit &= ~first[np.minimum(mark + k, n - 1)]
-            open_ &= ~hit
-            at = mark[hit]
-            start[at + 1] = False
-            after = at + len(ending) + 1
-            start[after[after < n]] = True
-    return start
+    special = _letters()[np.where(points < 128, points, 0)]
+    symbols = np.where((special != 255) & (points < 128), special, classes)
+    state = monoid().states(symbols, first)
+    before = np.empty(n, np.uint8)
+    before[0], before[1:] = START, state[:-1]
+    before[first] = START
+    begins = _begins()[before, symbols]
+    open_ = np.flatnonzero(begins == 2)
+    if len(open_):
+        after = np.minimum(open_ + 1, n - 1)
+        inside = (open_ + 1 < n) & ~first[after]
+        follow = symbols[after]
+        white = (symbols[open_] == SPACE) | (symbols[open_] == BLANK)
+        # the last white space before text is cut off; letters after an apostrophe are kept if they make a whole ending
+        dark = inside & (follow != SPACE) & (follow != BLANK)
+        ending = inside & (follow == np.where(symbols[open_] == L, L, E))
+        begins[open_] = np.where(white, dark, ~ending)
+    return begins.astype(bool)
 
 
 class Pieces(dict):
@@ -275,9 +347,11 @@ class Encoder:
         out[left] = np.fromiter((cache[whole[a:b]] for a, b in zip(starts[left].tolist(), ends[left].tolist())), np.int32, len(left))
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], offsets: bool = False) -> tuple[np.ndarray, ...]:
         """All ids end to end as int32, and the offsets of each text's ids; null counts as empty.
 
+        ``offsets``: also, for each id, the character of its text at which its piece begins.
+
         Texts are laid end to end in blocks of ``BLOCK`` characters, a longer one by itself,
         which bounds the arrays whatever the size of the batch.
         """
@@ -289,17 +363,18 @@ class Encoder:
                 size = 0
             size += n
         cuts.append(len(texts))
-        parts = [self._encode(texts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        parts = [self._encode(texts[a:b], offsets) for a, b in zip(cuts, cuts[1:])]
         if len(parts) == 1:
             return parts[0]
-        base = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in parts])])
-        ends = [at[1:] + b for (_, at), b in zip(parts, base)]
-        return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], *ends])
+        base = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+        ends = [p[1][1:] + b for p, b in zip(parts, base)]
+        held = np.concatenate([p[0] for p in parts]), np.concatenate([[0], *ends])
+        return (*held, np.concatenate([p[2] for p in parts])) if offsets else held
 
-    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: list[str | None], offsets: bool = False) -> tuple[np.ndarray, ...]:
         whole, starts, at = self.pieces([t or "" for t in texts])
         if not whole:
-            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+            return (np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int32))[: 3 if offsets else 2]
         if len(self.cache) > CACHE:
             self.forget()
         numbers = self.numbers(whole, starts)
@@ -308,12 +383,23 @@ class Encoder:
         sizes = np.concatenate([[0], np.cumsum(length)])
         where = np.repeat(offset[numbers] - sizes[:-1], length)
         where += np.arange(len(where))
-        return flat[where], sizes[at]
+        if not offsets:
+            return flat[where], sizes[at]
+        begins = np.cumsum([0, *(len(t or "") for t in texts)])[:-1]
+        own = starts - np.repeat(begins, np.diff(at))
+        return flat[where], sizes[at], np.repeat(own, length).astype(np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids."""
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
 
+    def decode_part(self, ids: list[int], offsets: list[int], begin: int, end: int) -> str:
+        """Characters ``begin`` to ``end`` of a text from its ids and their offsets: only the pieces that reach into the part are decoded."""
+        a = max(0, bisect_right(offsets, begin) - 1)
+        a = bisect_left(offsets, offsets[a]) if offsets else 0
+        b = bisect_left(offsets, end)
+        return self.decode(ids[a:b])[begin - offsets[a] : end - offsets[a]] if a < b else ""
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -321,24 +407,41 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, offsets: bool = False) -> DataFrame:
     """Token ids of every row: ``(id_col, ids array<int>)``, one row for each row of ``df``.
 
+    ``offsets`` adds ``offsets array<int>``: for each id the character at which its piece begins.
     Null and empty texts give an empty list; a null id stays null; repeated rows are each
     encoded; other columns of ``df`` are not read; an empty table gives an empty table.
     """
     path = path or vocabulary()
+    names = [id_col, "ids", "offsets"][: 3 if offsets else 2]
 
     def run(batches):
         enc = encoder(path)
         for batch in batches:
             if batch.num_rows:
-                ids, at = enc.encode(batch.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
+                ids, at, *places = enc.encode(batch.column(1).to_pylist(), offsets)
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (ids, *places)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=names)
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return shipped(rows).mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    more = ", offsets array<int>" if offsets else ""
+    return shipped(rows).mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>{more}")
+
+
+def decode(df: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
+    """``(id_col, text)`` from ``ids``: the way back. Null ids give a null text."""
+    path = path or vocabulary()
+
+    def run(batches):
+        enc = encoder(path)
+        for batch in batches:
+            texts = [None if x is None else enc.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    rows = df.select(F.col(id_col), "ids")
+    return shipped(rows).mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, text string")
 
 
 def count(df: DataFrame, text_col: str = "text", path: str | None = None, name: str = "n_tokens") -> DataFrame:

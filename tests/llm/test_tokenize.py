@@ -62,3 +62,32 @@ def test_table(spark):
     assert T.encode(df.limit(0)).count() == 0
     counted = T.count(df.withColumnRenamed("ids", "n_tokens"))
     assert counted.columns == ["doc_id", "n_tokens"] and sorted(r["n_tokens"] for r in counted.collect()) == [0, 0, 1, 2, 2]
+
+
+def test_scan_against_single_steps():
+    import numpy as np
+
+    m, rnd = T.monoid(), random.Random(4)
+    for n in (1, 2, 3, 7, 500):
+        symbols = np.array(rnd.choices(T.SYMBOLS + (T.APOSTROPHE, T.R, T.E) * 3, k=n), np.uint8)
+        first = np.array([k == 0 or rnd.random() < 0.1 for k in range(n)])
+        state, want = T.START, []
+        for x, f in zip(symbols.tolist(), first.tolist()):
+            state = T.next_state(T.START if f else state, x)
+            want.append(state)
+        assert m.states(symbols, first).tolist() == want
+    assert len(m.constant) < 100
+
+
+def test_offsets_find_any_part(spark):
+    rnd = random.Random(5)
+    texts = [None, "", "naïve 中文 😀's we'll", *("".join(rnd.choices(ALPHABET, k=rnd.randint(0, 40))) for _ in range(200))]
+    e = T.Encoder(T.vocabulary())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in T.encode(df, offsets=True).collect():
+        t = texts[r["doc_id"]] or ""
+        assert len(r["ids"]) == len(r["offsets"]) and e.decode(r["ids"]) == t
+        a = rnd.randint(0, len(t))
+        b = rnd.randint(a, len(t))
+        assert e.decode_part(r["ids"], r["offsets"], a, b) == t[a:b]
+    assert {r["doc_id"]: r["text"] for r in T.decode(T.encode(df)).collect()} == {k: t or "" for k, t in enumerate(texts)}
