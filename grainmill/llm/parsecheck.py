@@ -4,14 +4,15 @@ A lexer for each language reads the text once with a pushdown stack of open deli
 merge-conflict markers outside comments and literals, unterminated literals and comments,
 delimiters that do not match, text that ends inside a delimiter, characters the language does not
 have, and neighbouring tokens that no statement of the language has (which is how a file with the
-suffix of another language shows). What the lexers for Python and JSON pass is then parsed
-exactly, as their grammars are at hand.
+suffix of another language shows). Of conditional groups of the preprocessor one branch is read.
+JSON is parsed whole by its pushdown automaton, at any depth; what the lexer for Python passes is
+then parsed by Python's own parser. The other languages stay lexical: a file that breaks a rule of
+types or of deep syntax alone passes.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 import warnings
 
@@ -55,43 +56,55 @@ def lex_python(text: str) -> str | None:
 _JSON = re.compile(r"[ \t\r\n]*(?:(?P<l>\"(?:[^\"\\\x00-\x1f]|\\[\"\\/bfnrt]|\\u[0-9a-fA-F]{4})*\")|(?P<w>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|true|false|null)|(?P<b>[\[\]{}])|(?P<p>[,:])|(?P<q>\")|(?P<x>[^ \t\r\n]))")
 
 
+#: What may come next in JSON: a value; a value or the end of an array; a name or the end of an object; a name; the colon; a comma or the end; nothing.
+VALUE, ITEM, MEMBER, NAME, COLON, COMMA, DONE = range(7)
+
+
 def lex_json(text: str) -> str | None:
+    """JSON by a pushdown automaton, without recursion."""
     stack: list[str] = []
-    at, end = 0, len(text.rstrip(" \t\r\n"))
-    if not end:
-        return "premature end"
+    at, end, want = 0, len(text.rstrip(" \t\r\n")), VALUE
     while at < end:
         m = _JSON.match(text, at)
         kind, t = m.lastgroup, m[m.lastgroup]
-        if kind == "b":
-            if t in "[{":
-                stack.append(t)
-            elif not stack or CLOSES[stack.pop()] != t:
-                return "unbalanced delimiter"
-        elif kind == "q":
+        at = m.end()
+        if kind == "q":
             return "unterminated literal"
-        elif kind == "x":
+        if kind == "x":
             begin = m.start("x")
             return "conflict marker" if (begin == 0 or text[begin - 1] == "\n") and CONFLICT.match(text, begin) else "foreign character"
-        at = m.end()
-    return "premature end" if stack else None
-
-
-def _constant(name: str):
-    raise ValueError(name)
+        if t in ("]", "}"):
+            if not stack or CLOSES[stack[-1]] != t:
+                return "unbalanced delimiter"
+            if want not in (COMMA, ITEM if t == "]" else MEMBER):
+                return "grammar"
+            stack.pop()
+        elif kind == "p":
+            if want != (COLON if t == ":" else COMMA) or not stack:
+                return "grammar"
+            want = VALUE if t == ":" or stack[-1] == "[" else NAME
+            continue
+        elif kind == "l" and want in (MEMBER, NAME):
+            want = COLON
+            continue
+        elif want not in (VALUE, ITEM):
+            return "grammar"
+        elif t in ("[", "{"):
+            stack.append(t)
+            want = ITEM if t == "[" else MEMBER
+            continue
+        want = COMMA if stack else DONE
+    return None if want == DONE else "premature end"
 
 
-def exact(text: str, suffix: str) -> str | None:
-    """What the grammar of Python or JSON has against a text that its lexer passed."""
+def exact(text: str) -> str | None:
+    """What Python's parser has against a text that its lexer passed; nesting that is too deep for it is a fault, as it is where it counts brackets."""
     try:
-        if suffix == ".py":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        elif suffix == ".json":
-            json.loads(text, parse_constant=_constant)
-    except (RecursionError, MemoryError):  # a limit of the parser, not a fault of the text
-        return None
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+    except (RecursionError, MemoryError):
+        return "too deep"
     except (SyntaxError, ValueError):
         return "grammar"
     return None
@@ -154,6 +167,32 @@ INFIX = frozenset("= == === != !== % | || ^ += -= *= /= %= &= |= ^= <= >= ?? **
 ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??=".split())
 
 
+_CONDITION = re.compile(r"#[ \t]*(?P<word>ifdef|ifndef|if|elifdef|elifndef|elif|else|endif)\b(?P<rest>[^\n]*)")
+_NEVER = re.compile(r"[ \t]*\(?[ \t]*(?:0|false)[ \t]*\)?[ \t]*(?:/[/*].*)?\r?$")
+
+
+def past_group(text: str, at: int) -> tuple[int, str] | str:
+    """Where the next directive of the same condition stands after ``at``, and its word; groups inside are passed over. Text: what is wrong in between."""
+    depth = 0
+    while (at := text.find("\n", at)) >= 0:
+        at += 1
+        if text[at : at + 1] and text[at] in "<>=|" and CONFLICT.match(text, at):
+            return "conflict marker"
+        begin = at
+        while begin < len(text) and text[begin] in " \t":
+            begin += 1
+        m = _CONDITION.match(text, begin)
+        if not m:
+            continue
+        if m["word"].startswith("if"):
+            depth += 1
+        elif depth:
+            depth -= m["word"] == "endif"
+        else:
+            return begin, m["word"]
+    return "premature end"
+
+
 def lex_braces(text: str, suffix: str) -> str | None:
     """The lexer of the languages with braces."""
     keywords, foreign = KEYWORDS[suffix], FOREIGN[suffix]
@@ -164,6 +203,7 @@ def lex_braces(text: str, suffix: str) -> str | None:
     block = True  # the last closing bracket ended a block or a head
     runs = 0  # words on end
     questions = declared = 0
+    conditions: list[bool] = []  # of the preprocessor: was a branch read
     match, at, n = _TOKEN.match, 0, len(text)
     if script and text.startswith("#!"):
         at = text.find("\n")
@@ -192,6 +232,24 @@ def lex_braces(text: str, suffix: str) -> str | None:
             begin = m.start("h")
             if native and not text[text.rfind("\n", 0, begin) + 1 : begin].strip():
                 at = _DIRECTIVE.match(text, begin).end()
+                m = _CONDITION.match(text, begin)
+                if m:  # of each condition the first branch is read that isn't switched off
+                    word, skip = m["word"], False
+                    if word.startswith("if"):
+                        skip = bool(word == "if" and _NEVER.match(m["rest"]))
+                        conditions.append(not skip)
+                    elif not conditions:
+                        return "unbalanced delimiter"
+                    elif word == "endif":
+                        conditions.pop()
+                    else:
+                        skip = conditions[-1] or word == "elif" and bool(_NEVER.match(m["rest"]))
+                        conditions[-1] = conditions[-1] or not skip
+                    if skip:
+                        found = past_group(text, begin)
+                        if isinstance(found, str):
+                            return found
+                        at = found[0]
                 continue
             if script and re.compile(r"#[A-Za-z_$]").match(text, begin) and (prev in (".", "?.", "{", "}", ";", "static", "get", "set", "async") or line_end):
                 continue
@@ -272,7 +330,8 @@ def lex_braces(text: str, suffix: str) -> str | None:
                     stack.append((t, prev, of, questions))
                     questions = 0
                 else:
-                    if t == "(" and kind in ("n", "s") and not line_end and prev != "`":
+                    operands = native and stack and stack[-1][0] == "(" and stack[-1][1] in ("asm", "__asm__", "__asm", "volatile", "__volatile__", "goto", "inline")
+                    if t == "(" and kind in ("n", "s") and not line_end and prev != "`" and not operands:
                         return "grammar"
                     stack.append((t, prev, t == "(" and kind == "w" and prev in ("if", "for", "while", "switch", "catch", "with", "synchronized"), questions))
                     questions = 0
@@ -305,6 +364,12 @@ def lex_braces(text: str, suffix: str) -> str | None:
             kind2, kind, before, prev, line_end, runs = kind, "b", prev, t, False, 0
             continue
         else:  # an operator
+            begin = m.start("o")
+            if suffix == ".js" and (text.startswith("<!--", begin) or text.startswith("-->", begin) and (line_end or prev == ";" and kind == "")):  # comments in the manner of pages
+                at = text.find("\n", begin)
+                if at < 0:
+                    at = n
+                continue
             if t == "/" and script and not operand and prev != "}":
                 r = _REGEX.match(text, m.start("o"))
                 if not r:
@@ -349,14 +414,14 @@ def lex_braces(text: str, suffix: str) -> str | None:
                 return "grammar"
             elif t == "@" and native:
                 return "foreign character"
-            elif t == "<" and prev in (";",) and kind in ("", "o") and suffix != ".ts":
+            elif t == "<" and prev in (";",) and kind in ("", "o") and suffix not in (".ts", ".java"):
                 return "grammar"
         if k == "w" and t in ("let", "const", "var") and script:
             declared = 1
         elif t in (";", "=") or k == "w" and line_end:
             declared = 0
         kind2, kind, before, prev, line_end, block = kind, k, prev, t, False, False
-    if stack:
+    if stack or conditions:
         return "premature end"
     if prev in BINARY and not (prev == "/" and script):
         return "premature end"
@@ -369,9 +434,9 @@ def fault(text: str, suffix: str) -> str | None:
     """Why a text is not valid in the language of its suffix, or null. Empty text is valid except as JSON."""
     text = text.removeprefix("﻿")
     if suffix == ".py":
-        return lex_python(text) or exact(text, suffix)
+        return lex_python(text) or exact(text)
     if suffix == ".json":
-        return lex_json(text) or exact(text, suffix)
+        return lex_json(text)
     return lex_braces(text, suffix)
 
 

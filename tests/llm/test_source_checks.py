@@ -96,6 +96,44 @@ def test_languages(spark):
     assert N.languages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("suffix, text", [
+    (".c", "#if 0\nit's off {\n#endif\nint x;\n"), (".c", "#if 0\n{\n#else\nint y;\n#endif\n"), (".c", "# if 0 // off\n# if A\n(\n# endif\n# elif B\nint b;\n# endif\n"),
+    (".cpp", "#ifdef A\nvoid f(int a) {\n#else\nvoid f(long a) {\n#endif\n}\n"),
+    (".c", "#ifndef H\n#define H\n#if A\nint a;\n#elif B\nint b;\n#else\nint c;\n#endif\n#endif\n"),
+    (".c", 'void f(void) { int x; asm volatile("mov %0, 1" : "=r"(x) : "r"(x) : "memory"); }\n'),
+    (".java", "class A { int x; <T> void m(T t) {} }\n"), (".js", "<!-- hide\nlet a = 1;\n--> end\n"), (".json", "[" * 100000 + "]" * 100000),
+])
+def test_valid_at_the_edge(suffix, text):
+    assert P.fault(text, suffix) is None
+
+
+@pytest.mark.parametrize("suffix, text", [
+    (".c", "#ifdef A\nint x;\n"), (".c", "int x;\n#endif\n"), (".c", "int x;\n#else\n"), (".c", "#if 0\n<<<<<<< ours\n#endif\nint x;\n"), (".c", "#if 1\nint x(;\n#endif\n"),
+    *((".json", t) for t in ("[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "1 2", "{1:2}", "", "[", '{"a":}', "[,1]", ":", '{"a":1]')),
+    (".py", "x = " + "-" * 100000 + "1"), (".py", "(" * 500 + ")" * 500),
+])
+def test_invalid_at_the_edge(suffix, text):
+    assert P.fault(text, suffix)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_json_against_a_parser(seed):
+    import json
+
+    def none(name):
+        raise ValueError(name)
+
+    rnd = random.Random(seed)
+    for _ in range(5000):
+        t = "".join(rnd.choices(["[", "]", "{", "}", ",", ":", '"a"', "1", "null", " ", "-", "01", '"', "NaN"], k=rnd.randint(1, 7)))
+        try:
+            json.loads(t, parse_constant=none)
+            valid = True
+        except ValueError:
+            valid = False
+        assert valid == (P.fault(t, ".json") is None), t
+
+
 def test_held_out_and_shares(spark):
     told = [
         ("de", "die Tabelle {} wird nicht sortiert wenn der Speicher {} fehlt"), ("fr", "la table {} est vide avant la fin pour les lignes {}"),
