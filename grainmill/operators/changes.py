@@ -257,10 +257,16 @@ class ChangeRun:
         folders = [f"{self.store.folder}/base-{upto}"] if base else []
         return [*folders, *(f"{self.store.folder}/batch-{n}" for n in range(upto + 1, at + 1))], at
 
-    def result(self) -> DataFrame | None:
-        """All committed rows, by key the newest, each once; null before the first commit."""
+    def result(self, folded: bool = False) -> DataFrame | None:
+        """All committed rows, by key the newest, each once; null before the first commit.
+
+        ``folded``: every batch holds a key once, so one table alone needs no further fold.
+        """
         folders, _ = self._tables()
-        return newest(self.spark.read.parquet(*folders), self.key, self.order) if folders else None
+        if not folders:
+            return None
+        rows = self.spark.read.parquet(*folders)
+        return rows if folded and len(folders) == 1 else newest(rows, self.key, self.order)
 
     def compact(self) -> None:
         """Fold all committed batches into one table, then forget their folders, plans and commits but the last."""
@@ -328,7 +334,7 @@ class ChangedFiles:
             pass
         if len(self.run._tables()[0]) > BATCHES:
             self.run.compact()
-        held = self.run.result()
+        held = self.run.result(folded=True)
         if held is None:
             raise ValueError("nothing was delivered")
         return pending_of(held, runs)
