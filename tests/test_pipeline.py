@@ -35,6 +35,16 @@ def test_listing(spark, tree):
     assert {r["path"]: r["error"] for r in read.collect()} == dict.fromkeys(NAMES)
 
 
+def test_listing_by_subtrees(spark, tree, monkeypatch):
+    want = listing.listing(spark, str(tree)).orderBy("seq").drop("seq").collect()
+    monkeypatch.setattr(listing, "SUBTREES", 2)
+    near, open_ = listing.subtrees(str(tree), enough=2)
+    assert open_ and len(near) < len(want)
+    monkeypatch.setattr(listing.subtrees, "__defaults__", (frozenset(), 2))
+    assert listing.listing(spark, str(tree)).orderBy("seq").drop("seq").collect() == want
+    assert listing.listing(spark, str(tree), frozenset(["pkg"])).where("path like 'pkg%'").count() == 0
+
+
 def test_two_runs(spark, tree, tmp_path):
     out = tmp_path / "out"
     (tree / "bad.js").write_bytes(b"\x80")
