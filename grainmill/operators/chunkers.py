@@ -113,16 +113,22 @@ def parsed(source: str) -> ast.Module | None:
             return None
 
 
+#: Where statements hold statements, in the order of a node's fields.
+BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
 def definitions(tree: ast.Module, kinds: tuple[type, ...]) -> Iterator[ast.AST]:
-    """Classes and functions of the given kinds, one level of the tree after the other."""
+    """Classes and functions of the given kinds, one level of the tree after the other. Definitions are statements, so expressions are not looked into."""
     level: list[ast.AST] = [tree]
     while level:
         yield from (n for n in level if isinstance(n, (ast.ClassDef, *kinds)))
-        level = [child for n in level for child in ast.iter_child_nodes(n)]
+        level = [child for n in level for block in BLOCKS for child in getattr(n, block, ())]
 
 
 def comment_list(source: str) -> list[dict]:
     """The comments of a module in order, without their marks; what the tokeniser stops at leaves none."""
+    if "#" not in source:
+        return []
     try:
         held = [t for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
     except (tokenize.TokenError, SyntaxError) as e:
