@@ -206,3 +206,68 @@ def pairs(chunks: DataFrame) -> DataFrame:
     out = docs.join(parts, [*KEY, "line"]).where("indent = level")
     best = F.max(F.struct(F.length("doc"), F.length("code"), "doc", F.regexp_replace("code", r"\A\n[ \t]*", "").alias("code"))).alias("b")
     return out.groupBy("seq", F.col("name").alias("func_name")).agg(best).select("seq", "func_name", F.col("b.code").alias("code"), strip(F.col("b.doc")).alias("doc"))
+
+
+#: One token of a language with braces: comment, literal, brace or semicolon, directive, or the text between; together they are the whole source.
+BRACES = (
+    r"(//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|\"(?:[^\"\\\n]|\\[\s\S])*+\"?|'(?:[^'\\\n]|\\[\s\S])*+'?|`(?:[^`\\]|\\[\s\S])*+`?|[{};]"
+    r"|(?:\A|\n)[ \t]*+#[^\n]*+|(?:[^\"'`{};/\n]|/(?![/*])|\n(?![ \t]*#))++)"
+)
+#: Suffixes of files that ``brace_pairs`` reads.
+BRACED = (".js", ".jsx", ".mjs", ".ts", ".tsx", ".java", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".go", ".rs", ".kt", ".swift", ".scala", ".php")
+#: Words before a bracket that begin a statement, not a function.
+NO_NAME = "if for while switch catch return else do with synchronized using lock foreach when match sizeof typeof new throw await function fn func"
+#: The head of a function: a name, its parameters, and what may stand between them and the brace; or a name that an arrow function gets.
+HEAD = r"(?s)([A-Za-z_$~][\w$]*)\s*(?:<[^<>(){}]*>\s*)?\([^{}]*\)\s*(?::\s*[\w\s<>\[\].|,&?*]+|->\s*[\w\s<>\[\].&':,*]+|throws\s+[\w\s,.]+|const|override|noexcept|final|\[[^\]]*\]|[\w.*\[\]]+|\(\s*[\w\s,.*\[\]]*\))?\s*\z"
+ARROW = r"(?s)([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*(?:async\s*)?(?:\([^{}]*\)|[A-Za-z_$][\w$]*)\s*(?::\s*[\w<>\[\].| ]+)?=>\s*\z"
+
+
+def brace_pairs(chunks: DataFrame) -> DataFrame:
+    """``(seq, func_name, code, doc)``: documented functions of files in languages with braces, ``BRACED``.
+
+    Tokens become rows; the running sum of braces gives their depth. Tokens up to a brace or
+    semicolon are one island, its last comments on lines of their own are the documentation, its
+    text between these and an opening brace is a head. The closing brace of a body is the one after as many
+    openings at that depth. Lexical: a brace in a regular expression, or a type in braces among
+    the parameters, hides that function. Chunks delivered twice count once; null and empty
+    contents and files of other suffixes give nothing.
+    """
+    from ..session import stage
+
+    suffix = F.regexp_extract("path", r"(\.[^./\\]+)$", 1)
+    held = chunks.where(F.col("type").eqNullSafe("file") & F.col("content").isNotNull() & F.col("seq").isNotNull() & suffix.isin(*BRACED))
+    held = stage(held.select(*KEY, F.regexp_replace("content", r"\r\n?", "\n").alias("content")).dropDuplicates(KEY), "braced")
+    at = W.partitionBy(*KEY).orderBy("pos")
+    t = held.select(*KEY, F.posexplode(F.regexp_extract_all("content", F.lit(BRACES), F.lit(1))).alias("pos", "tok"))
+    mark = F.col("tok").isin("{", "}", ";")
+    t = t.withColumn("begin", F.sum(F.length("tok")).over(at) - F.length("tok")).withColumn("depth", F.sum(F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)).over(at))
+    t = t.withColumn("island", F.sum(mark.cast("int")).over(at) - mark.cast("int"))
+    # openings at each depth are counted; the closing brace that comes back to the depth has the same count
+    level = F.when(F.col("tok") == "{", F.col("depth") - 1).when(F.col("tok") == "}", F.col("depth"))
+    braces = t.where(level.isNotNull()).withColumn("level", level)
+    braces = braces.withColumn("nth", F.sum((F.col("tok") == "{").cast("int")).over(W.partitionBy(*KEY, "level").orderBy("pos")))
+    closing = braces.where("tok = '}'").groupBy(*KEY, "level", "nth").agg((F.min("begin") + 1).alias("end"))
+    opening = braces.where("tok = '{'").select(*KEY, "island", "level", "nth")
+    # comments on lines of their own, and what stands after the last of them in an island
+    before = F.coalesce(F.lag("tok").over(at), F.lit("\n"))
+    comment = F.col("tok").startswith("//") | F.col("tok").startswith("/*")
+    own = comment & (before.rlike(r"\n[ \t]*\z|\A[{};]\z|\A/[/*]") | (F.col("pos") == 0))
+    aside = mark | comment | F.col("tok").rlike(r"\A\n?[ \t]*#")
+    word = ~aside & F.col("tok").rlike(r"\S")
+    of_island = W.partitionBy(*KEY, "island")
+    rows = t.withColumn("own", own).withColumn("aside", aside).withColumn("last", F.max(F.when(own, F.col("pos"))).over(of_island))
+    rows = rows.where("last is not null").withColumn("since", F.coalesce(F.max(F.when(word & (F.col("pos") < F.col("last")), F.col("pos"))).over(of_island), F.lit(-1)))
+    said = rows.where("own and pos > since")
+    said = said.groupBy(*KEY, "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), "\n").alias("said"))
+    heads = rows.where("not aside and pos > last").groupBy(*KEY, "island").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), "").alias("head"), F.min("begin").alias("begin")
+    )
+    heads = heads.withColumn("begin", F.col("begin") + F.length("head") - F.length(F.regexp_replace("head", r"\A\s+", "")))
+    arrow = F.regexp_extract("head", ARROW, 1)
+    name = F.when(arrow != "", arrow).otherwise(F.regexp_extract("head", HEAD, 1))
+    found = said.join(heads, [*KEY, "island"]).join(opening, [*KEY, "island"]).withColumn("func_name", name).where((F.col("func_name") != "") & ~F.col("func_name").isin(*NO_NAME.split()))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("said", r"(?m)^\s*(?:/\*+!?|//+[/!]?)|\*+/\s*$", ""), r"(?m)^[ \t]*\*+ ?", ""), r"(?m)[ \t]+$", "")
+    found = found.withColumn("doc", strip(plain)).where(says_something(F.col("doc"), F.col("func_name")))
+    places = found.join(closing, [*KEY, "level", "nth"]).select(*KEY, "func_name", "doc", "begin", "end")
+    code = F.substring(F.col("content"), (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    return places.join(held, KEY).select("seq", "func_name", code.alias("code"), "doc").distinct()

@@ -26,6 +26,11 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(table(spark, d, "chunks"))
 
 
+def p3_braces(spark: SparkSession, d: str) -> DataFrame:
+    """Documented functions of files in languages with braces."""
+    return docpairs.brace_pairs(table(spark, d, "chunks"))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, each once, with the words of their text."""
     rows = table(spark, d, "chunks").select("seq", "chunk_idx", word_count(F.coalesce("code", "content")).cast("bigint").alias("size"))
@@ -107,7 +112,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    p1_found, p1_redacted, p3_found, p3_pairs, p4_packed, p4_files, p5_found, p5_shares, p5_accuracy, p6_found, p6_signs, p7_found, p7_rates,
+    p1_found, p1_redacted, p3_found, p3_pairs, p3_braces, p4_packed, p4_files, p5_found, p5_shares, p5_accuracy, p6_found, p6_signs, p7_found, p7_rates,
     p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_sets, p10_shared,
 ]
 

@@ -96,3 +96,34 @@ def test_against_the_syntax_tree(spark):
     want = {n.name for n in ast.walk(tree) if isinstance(n, ast.FunctionDef) and ast.get_docstring(n)}
     got = {r["func_name"] for r in D.documented(rows(spark, *codes)).collect()}
     assert want - got == set()
+
+
+def test_languages_with_braces(spark):
+    js = """import x from 'y';
+/**
+ * Adds two numbers and checks {them}.
+ * @param a first
+ */
+export async function add(a, b = ";") { if (a) { return "}" } // }
+  return a + b; }
+// Says hello to everyone
+// in two lines.
+const hello = (name) => { return `hi ${name}`; };
+/* TODO */ function empty() {}
+/** Loop of the caller. */ for (const q of z) { q(); }
+class A {
+  // Keeps the last value.
+  keep(v) { this.v = v; }
+  none() { return 1 }
+}
+"""
+    java = "class B {\n  /** Reads all of it. */\n  @Override\n  public <T> List<T> read(Map<String, T> m) throws IOException {\n    while (true) { m.x(); }\n  }\n}\n"
+    c = "#include <a.h>\n/* Frees the buffer\n * and its parts. */\nstatic int *drop(struct s *p)\n{\n  free(p); /* } */\n  return 0;\n}\nint x;\n"
+    rows = [(1, 0, "a.js", "file", js), (1, 0, "a.js", "file", js), (2, 0, "B.java", "file", java), (3, 0, "c.c", "file", c), (4, 0, "d.py", "file", c), (5, 0, "e.js", "file", None), (6, 0, "f.js", "file", ""), (7, 0, None, "file", js)]
+    df = spark.createDataFrame(rows, "seq long, chunk_idx int, path string, type string, content string")
+    got = {(r["seq"], r["func_name"]): (r["code"], r["doc"]) for r in D.brace_pairs(df).collect()}
+    assert set(got) == {(1, "add"), (1, "hello"), (1, "keep"), (2, "read"), (3, "drop")}
+    assert got[1, "add"][0].startswith("export async function add(a") and got[1, "add"][0].endswith("return a + b; }") and got[1, "add"][1].startswith("Adds two numbers and checks {them}.")
+    assert got[1, "hello"] == ("const hello = (name) => { return `hi ${name}`; }", "Says hello to everyone\n in two lines.")
+    assert got[1, "keep"] == ("keep(v) { this.v = v; }", "Keeps the last value.") and got[2, "read"][1] == "Reads all of it." and got[2, "read"][0].endswith("m.x(); }\n  }")
+    assert got[3, "drop"] == ("static int *drop(struct s *p)\n{\n  free(p); /* } */\n  return 0;\n}", "Frees the buffer\nand its parts.")
