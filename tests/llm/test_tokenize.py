@@ -69,7 +69,7 @@ def test_scan_against_single_steps():
 
     m, rnd = T.monoid(), random.Random(4)
     for n in (1, 2, 3, 7, 500):
-        symbols = np.array(rnd.choices(T.SYMBOLS + (T.APOSTROPHE, T.R, T.E) * 3, k=n), np.uint8)
+        symbols = np.array(rnd.choices([*T.SYMBOLS, *[T.APOSTROPHE, T.R, T.E] * 3], k=n), np.uint8)
         first = np.array([k == 0 or rnd.random() < 0.1 for k in range(n)])
         state, want = T.START, []
         for x, f in zip(symbols.tolist(), first.tolist()):
